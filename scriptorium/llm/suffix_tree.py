@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import byte_column, fold, record_batch, stored, table
 
 DEPTH = 5
-MIN_SHARE = 2e-5
+MIN_SHARE = 5e-6
 MIN_DIVERGENCE = 0.005
 FOLDS, HELD_OUT = 7, 2
 HOT, HOT_BYTES = 131_072, 64
