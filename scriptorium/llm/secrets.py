@@ -68,28 +68,36 @@ def _limit(s: Column) -> Column:
 
 def _windows(s: Column) -> Column:
     """Merged windows (a, b) of a run whose entropy reaches the limit; counts change by one in and one out."""
-    number = lambda i: F.instr(F.lit(ENTROPY_CHARS), F.substring(s, i, F.lit(1)))
+    codes = F.transform(F.regexp_extract_all(s, F.lit("."), 0), lambda c: F.instr(F.lit(ENTROPY_CHARS), c))
+    # bound by a transform over one element, so that each is made once a run
+    bound = F.transform(F.array(F.struct(codes.alias("codes"), _limit(s).alias("limit"))), lambda v: _slide(v["codes"], v["limit"]))
+    return F.flatten(bound)
+
+
+def _slide(codes: Column, limit: Column) -> Column:
     part = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     zero = F.array_repeat(F.lit(0), len(ENTROPY_CHARS))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    begin = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), none.alias("out"))
+    begin = F.struct(F.lit(0).alias("i"), zero.alias("n"), F.lit(0.0).alias("sum"), none.alias("out"))
 
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = number(i), F.when(i > WINDOW, number(i - WINDOW)).otherwise(F.lit(0))
+    def step(state: Column, enters: Column) -> Column:
+        i = state["i"] + 1
+        leaves = F.when(i > WINDOW, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
         more = F.element_at(state["n"], enters)
         less = F.when(leaves > 0, F.element_at(state["n"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
         same = enters == leaves
         total = F.when(same, state["sum"]).otherwise(state["sum"] + part(more + 1) - part(more) + F.when(leaves > 0, part(less - 1) - part(less)).otherwise(F.lit(0.0)))
         counts = F.when(same, state["n"]).otherwise(F.transform(state["n"], lambda c, j: c + F.when(j + 1 == enters, 1).when(j + 1 == leaves, -1).otherwise(0)))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when((i >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= _limit(s)), _joined(state["out"], i - WINDOW, i)).otherwise(state["out"]).alias("out"))
+        found = (i >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= limit)
+        return F.struct(i.alias("i"), counts.alias("n"), total.alias("sum"), F.when(found, joined(state["out"], i - WINDOW, i)).otherwise(state["out"]).alias("out"))
 
-    def _joined(out: Column, a: Column, b: Column) -> Column:
+    def joined(out: Column, a: Column, b: Column) -> Column:
         last = F.element_at(out, -1)
         alone = F.array(F.struct(a.alias("a"), b.alias("b")))
         longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), b.alias("b"))))
         return F.when(F.size(out) == 0, alone).when(last["b"] >= a, longer).otherwise(F.concat(out, alone))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), begin, step, lambda state: state["out"])
+    return F.aggregate(codes, begin, step, lambda state: state["out"])
 
 
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: str = ALLOW) -> DataFrame:
