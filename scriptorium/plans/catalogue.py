@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search, text
+from . import graph, search, text, trends
 
-_PARTS = (text, search)
+_PARTS = (text, search, graph, trends)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}

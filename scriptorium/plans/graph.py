@@ -40,8 +40,8 @@ def knn_pruned(spark, d):
 
 
 _PRUNED = """heavy AS (SELECT pos, term FROM (SELECT pos, term, row_number() OVER (PARTITION BY pos ORDER BY round(w, 9) DESC, term) AS r FROM tfidf) WHERE r <= 24),
-met AS (SELECT h.pos AS src, t.pos AS dst, min((v.df, h.term)) AS at FROM heavy h JOIN tfidf_v v USING (term) JOIN tfidf t USING (term) WHERE h.pos <> t.pos GROUP BY ALL),
-cand AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY at, dst) AS r FROM met) WHERE r <= 400),
+met AS (SELECT h.pos AS src, t.pos AS dst, min((v.df, h.term)) AS first FROM heavy h JOIN tfidf_v v USING (term) JOIN tfidf t USING (term) WHERE h.pos <> t.pos GROUP BY ALL),
+cand AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY first, dst) AS r FROM met) WHERE r <= 400),
 psim AS (SELECT c.src, c.dst, round(sum(a.w * b.w), 6) AS w FROM cand c JOIN tfidf a ON a.pos = c.src JOIN tfidf b ON b.pos = c.dst AND b.term = a.term GROUP BY ALL),
 parcs AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM psim WHERE w > 0) WHERE r <= 8)"""
 SQL["knn_pruned"] = f"{_TEXT.split(', sim AS')[0]}, {_PRUNED} SELECT src, dst, w FROM parcs"
