@@ -290,7 +290,7 @@ def community_listing(spark, d):
 
 
 SQL["community_listing"] = f"""WITH {PAPERS}, com AS (SELECT pos, list_position({_LANG}, lang) - 1 AS community, row_number() OVER (ORDER BY length(abstract) DESC, pos) <= 300 AS inside FROM papers)
-SELECT community::BIGINT AS community, count(*) AS size, community::VARCHAR AS label, count(*) FILTER (inside) AS included FROM com WHERE community >= 0 GROUP BY 1"""
+SELECT com.community::BIGINT AS community, count(*) AS size, any_value(com.community)::VARCHAR AS label, count(*) FILTER (inside) AS included FROM com WHERE com.community >= 0 GROUP BY com.community"""
 
 
 def subtract_lowest_degree(spark, d):
