@@ -29,6 +29,7 @@ MIN_BYTES, MAX_BYTES = 24, 1024
 #: Words in a run of repeated chunks that is reported. The ends of a repeated passage lie in chunks that
 #: reach beyond it, so a passage must be longer than this by up to two chunks to be sure to be found.
 MIN_WORDS = 20
+_CUT = "__spans_to_cut"
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -108,12 +109,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the reported later copies cut out of the text; doc_id must be unique."""
-    cut = repeated_runs(docs, key, text, min_words).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    cut = repeated_runs(docs, key, text, min_words).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(_CUT))
     joined = docs.join(cut, docs[key].eqNullSafe(cut["doc_id"]), "left").drop(cut["doc_id"])
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, x: F.struct(F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"])).alias("out"), x["end"].alias("at"))
     rest = lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text)))
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.aggregate("_cut", begin, step, rest))).drop("_cut")
+    return joined.withColumn(text, F.when(F.col(_CUT).isNull(), F.col(text)).otherwise(F.aggregate(_CUT, begin, step, rest))).drop(_CUT)
 
 
 def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
