@@ -111,7 +111,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP, blocks
         size, key, large = 0, None, False
 
         def close() -> tuple[list, list]:
-            if size < 2:
+            if size < 2 or not held:
                 return [], []
             members = np.concatenate(held)
             if large:
