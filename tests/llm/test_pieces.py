@@ -19,14 +19,22 @@ def test_ids_are_the_library_s(spark, vocabulary):
     texts = ["".join(rng.choice("aabcdeeé ñ\n\t  theingß🦊\x00.,") for _ in range(rng.randint(0, 80))) for _ in range(400)]
     texts += [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
     for text, ids in zip(texts, vocabulary.encode(texts), strict=True):
-        assert ids == library.encode(text) and vocabulary.decode(ids) == text
+        assert list(ids) == library.encode(text) and vocabulary.decode(ids) == text
+
+
+def test_admitted_pairs_are_those_of_the_merges(vocabulary):
+    rng = random.Random(7)
+    short = [x for x in vocabulary.reached if len(x) < 7]
+    for _ in range(20_000):
+        a, b = rng.choice(short), rng.choice(short)
+        assert vocabulary.admitted(a, b) == (vocabulary.merged(a + b) == [a, b])
 
 
 def test_each_word_alone_equals_the_shared_trie(vocabulary):
     words = [" the", " them", " theme", " thermal", "the", "x" * 40, " x▁y", "\n", "   a"]
     together = vocabulary.encode_words(words)
     assert all(vocabulary.encode_words([w])[w] == ids for w, ids in together.items())
-    assert all(vocabulary.decode(vocabulary.encode_words([" "])[" "] + ids) == w for w, ids in together.items())
+    assert all(vocabulary.decode([vocabulary.score[" "][1], *ids]) == w for w, ids in together.items())
 
 
 def test_round_trip_of_odd_rows(spark, odd, empty, vocabulary):

@@ -47,7 +47,7 @@ def check(frame):
 
 def test_brute_force(spark, odd, empty):
     got = check(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"))
-    assert sum("entropy" in r.spans for r in got) >= 4 and len(got) == len(TEXTS)
+    assert sum("entropy" in r.spans for r in got) >= 3 and len(got) == len(TEXTS)
     assert len(check(odd)) == odd.count() and S.secrets(empty).count() == 0
 
 
