@@ -21,7 +21,8 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,23 @@ class Pieces:
                 self.score[plain] = (model.get_score(i), i)
                 lengths.setdefault(plain[-1], set()).add(len(plain))
                 self.text.append(plain.encode())
-        self.lengths = {c: tuple(sorted(x)) for c, x in lengths.items()}
+        self.lengths = {c: tuple(sorted(x, reverse=True)) for c, x in lengths.items()}
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
-
-    def merged(self, text: str) -> list[str]:
-        """A short text's pieces by merges, best score first, leftmost of equals."""
+        # The two parts that a piece's last merge joins, and when it is made: merges go by score, best first.
+        self.parts: dict[str, tuple[str, str]] = {}
+        self.when: dict[str, float] = {}
+        for piece in sorted(self.score, key=len):
+            if len(piece) > 1:
+                parts = self.merged(piece, 2)
+                if len(parts) == 2 and parts[0] + parts[1] in self.score:
+                    self.parts[piece], self.when[piece] = (parts[0], parts[1]), -self.score[piece][0]
+        #: Pieces that merges can give; no path has others.
+        self.reached = {x: v for x, v in self.score.items() if len(x) == 1 or x in self.parts}
+
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """A short text's pieces by merges, best score first, leftmost of equals, down to so many pieces."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             found = [(self.score[x][0], -i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.score]
             if not found:
                 break
@@ -76,12 +87,33 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def encode_words(self, words: list[str], admitted: dict[tuple[str, str], bool] | None = None) -> dict[str, list[int]]:
+    def admitted(self, left: str, right: str) -> bool:
+        """Whether the merges of left + right give just these two.
+
+        Merges are undone from the last on, the one next to the boundary that was made later first; if the
+        pieces that meet there could have merged before the merge undone last, they would have.
+        """
+        when, parts, score = self.when, self.parts, self.score
+        limit = float("inf")
+        while True:
+            over = score.get(left + right)
+            if over is not None and -over[0] < limit:
+                return False
+            a, b = when.get(left), when.get(right)
+            if a is not None and (b is None or a > b):
+                limit, left = a, parts[left][1]
+            elif b is not None:
+                # of merges of one rank the leftmost comes first, and one over the boundary is further left
+                limit, right = b + 0.5, parts[right][0]
+            else:
+                return True
+
+    def encode_words(self, words: list[str], admitted: dict[tuple[str, str], bool] | None = None) -> dict[str, array]:
         """The ids of each of some distinct words; admitted keeps what is known of pairs from call to call."""
-        out: dict[str, list[int]] = {}
-        score, lengths, unknown = self.score, self.lengths, self.unknown
+        out: dict[str, array] = {}
+        score, lengths, unknown, none = self.reached, self.lengths, self.unknown, ()
         admitted = {} if admitted is None else admitted
-        best: list[float] = [0.0]  # for each end in the word before: the score of its best path, and its last piece
+        best: list[float] = [0.0]  # for each end in the word before: the score of its path, and its last piece
         piece: list[str] = [""]
         last = ""
         for word in sorted(words):
@@ -90,34 +122,34 @@ class Pieces:
                 same += 1
             del best[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                top, step = float("-inf"), ""
-                for n in lengths.get(word[end - 1], ()):
-                    if n > end:
-                        break
-                    if (found := score.get(right := word[end - n : end])) and (now := best[end - n] + found[0]) > top:
-                        pair = (piece[end - n], right)
-                        if (fits := admitted.get(pair)) is None:
-                            fits = admitted[pair] = self.merged(pair[0] + right) == [x for x in pair if x]
+                # longest pieces first; a prefix has one path whose pairs are all admitted
+                for n in lengths.get(word[end - 1], none):
+                    if n <= end and (found := score.get(right := word[end - n : end])):
+                        left = piece[end - n]
+                        if (fits := admitted.get((left, right))) is None:
+                            fits = admitted[left, right] = not left or self.admitted(left, right)
                         if fits:
-                            top, step = now, right
-                if word[end - 1] not in score and (now := best[end - 1] + unknown) > top:
-                    top, step = now, word[end - 1]
-                best.append(top)
-                piece.append(step)
-            ids: list[int] = []
+                            best.append(best[end - n] + found[0])
+                            piece.append(right)
+                            break
+                else:
+                    best.append(best[end - 1] + unknown)
+                    piece.append(word[end - 1])
+            ids = array("i")
             end = len(word)
             while end:
                 step = piece[end]
                 if step in score:
                     ids.append(score[step][1])
                 else:
-                    ids += [self.byte[x] for x in reversed(step.encode("utf-8", "replace"))]
+                    ids.extend(self.byte[x] for x in reversed(step.encode("utf-8", "replace")))
                 end -= len(step)
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
             last = word
         return out
 
-    def encode(self, texts: list[str | None], known: dict[str, list[int]] | None = None, admitted: dict[tuple[str, str], bool] | None = None) -> list[list[int]]:
+    def encode(self, texts: list[str | None], known: dict[str, array] | None = None, admitted: dict[tuple[str, str], bool] | None = None) -> list[array]:
         """The ids of each text; known and admitted keep words and pairs from call to call."""
         known = {} if known is None else known
         cut = [_WORD.findall(" " + x) if x else [] for x in texts]
@@ -127,16 +159,21 @@ class Pieces:
             fresh = set().union(*cut)
         if admitted is not None and len(admitted) > KEPT:
             admitted.clear()
-        known |= self.encode_words(list(fresh), admitted)
+        made = self.encode_words(list(fresh), admitted)
+        for word, ids in made.items():
+            # texts are their words in a row, and so are their pieces' bytes
+            if b"".join([self.text[i] for i in ids]) != word.encode("utf-8", "replace"):
+                raise ValueError(f"the pieces of {word!r} don't give it back")
+        known |= made
         out = []
         for words in cut:
-            ids: list[int] = []
+            ids = array("i")
             for w in words:
                 ids += known[w]
             out.append(ids)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
@@ -154,8 +191,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 texts = part.column("text").to_pylist()
                 ids = pieces.encode(texts, known, admitted)
                 ends = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
-                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                flat = np.frombuffer(b"".join([x.tobytes() for x in ids]), np.int32)
+                # encode() has checked each word; what is left is that the words make up the text
+                same = ["".join(_WORD.findall(" " + t)) == " " + t if t else True for t in texts]
                 yield record_batch(schema, [part.column("doc_id"), np.diff(ends), same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
