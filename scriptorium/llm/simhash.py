@@ -100,6 +100,8 @@ def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP, blocks: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints of nodes(fp) that connect all those within the distance."""
+    if distance % 2:
+        raise ValueError("the distance must be even")
     masks = block_masks(blocks or blocks_for(nodes.count(), distance), distance)
     choice = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(m).alias("mask")) for i, m in enumerate(masks)])).alias("x")
     keyed = nodes.select("fp", choice).select(F.xxhash64("x.c", F.col("fp").bitwiseAND(F.col("x.mask"))).alias("key"), "fp")
@@ -154,12 +156,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP, blocks
 
     found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(kernel, "a bigint, b bigint"), "links")
     # the exact way for large groups: variants with up to distance // 2 bits turned
-    half, rest = distance // 2, distance - distance // 2
-    turned = [0, *(sum(1 << i for i in c) for n in range(1, rest + 1) for c in combinations(range(64), n))]
+    turned = [0, *(sum(1 << i for i in c) for n in range(1, distance // 2 + 1) for c in combinations(range(64), n))]
     signed = np.array(turned, np.uint64).view(np.int64).tolist()
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    if half != rest:
-        raise ValueError("the distance must be even")
     if hot.isEmpty():
         return found.where("b is not null")
     variants = hot.select("fp", F.explode(F.transform(F.array(*[F.lit(x) for x in signed]), lambda x: x.bitwiseXOR(F.col("fp")))).alias("v"))

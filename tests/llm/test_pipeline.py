@@ -39,7 +39,7 @@ def test_equals_the_stages_by_hand(spark):
     frame = spark.createDataFrame(list(left.items()), "doc_id bigint, text string")
     clean = {r.doc_id: pii.sanitise(left[r.doc_id] or "", [tuple(s) for s in (*r.base, *r.added)]) for r in pii.personal_data(frame).collect()}
     vocabulary = pieces.Pieces()
-    want = dict(zip(clean, vocabulary.encode(list(clean.values())), strict=True))
+    want = {d: list(x) for d, x in zip(clean, vocabulary.encode(list(clean.values())), strict=True)}
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert got == want and 100 < len(got) < 200
 
