@@ -33,8 +33,8 @@ from ._common import record_batch, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
-#: Rows encoded together, and words whose pieces a task keeps.
-ROWS, KEPT = 500, 200_000
+#: Characters of the texts that are encoded together, and words whose pieces a task keeps.
+CHARS, KEPT = 6_000_000, 400_000
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -61,9 +61,10 @@ class Pieces:
                 if " " in plain.lstrip(" ") or ("\n" in plain and plain != "\n"):
                     raise ValueError(f"words can't be cut apart for the piece {piece!r}")
                 self.score[plain] = (model.get_score(i), i)
-                lengths.setdefault(plain[-1], set()).add(len(plain))
+                lengths.setdefault(plain[-3:], set()).add(len(plain))
                 self.text.append(plain.encode())
-        self.lengths = {c: tuple(sorted(x, reverse=True)) for c, x in lengths.items()}
+        #: For the last three characters of a text: the lengths of the pieces that may end there, longest first.
+        self.lengths = {c: (*sorted((n for n in x if n > 2), reverse=True), 2, 1) for c, x in lengths.items() if len(c) == 3}
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         # The two parts that a piece's last merge joins, and when it is made: merges go by score, best first.
         self.parts: dict[str, tuple[str, str]] = {}
@@ -111,7 +112,7 @@ class Pieces:
     def encode_words(self, words: list[str], admitted: dict[tuple[str, str], bool] | None = None) -> dict[str, array]:
         """The ids of each of some distinct words; admitted keeps what is known of pairs from call to call."""
         out: dict[str, array] = {}
-        score, lengths, unknown, none = self.reached, self.lengths, self.unknown, ()
+        score, lengths, unknown, short = self.reached, self.lengths, self.unknown, (2, 1)
         admitted = {} if admitted is None else admitted
         best: list[float] = [0.0]  # for each end in the word before: the score of its path, and its last piece
         piece: list[str] = [""]
@@ -123,7 +124,7 @@ class Pieces:
             del best[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 # longest pieces first; a prefix has one path whose pairs are all admitted
-                for n in lengths.get(word[end - 1], none):
+                for n in lengths.get(word[max(0, end - 3) : end], short):
                     if n <= end and (found := score.get(right := word[end - n : end])):
                         left = piece[end - n]
                         if (fits := admitted.get((left, right))) is None:
@@ -186,9 +187,13 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, known, admitted = held.value, {}, {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                texts = part.column("text").to_pylist()
+            texts_of, lo, held_chars = batch.column("text").to_pylist(), 0, 0
+            for hi, text in enumerate(texts_of, 1):
+                held_chars += len(text or "")
+                if held_chars < CHARS and hi < len(texts_of):
+                    continue
+                part, texts = batch.slice(lo, hi - lo), texts_of[lo:hi]
+                lo, held_chars = hi, 0
                 ids = pieces.encode(texts, known, admitted)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.frombuffer(b"".join([x.tobytes() for x in ids]), np.int32)
