@@ -10,8 +10,8 @@ of 256 bytes. A text is scored from the longest retained suffix of the DEPTH byt
 
 MIN_SHARE bounds the model: no depth has more than 1 / MIN_SHARE contexts, however large the corpus.
 
-Base scores need the count of every word. The counts are a table; the HOT most frequent words of at most
-HOT_BYTES bytes go to every task, the rest are joined, a row for each document and word.
+Base scores need the count of every word. The counts are a table; the most frequent words, at
+most HOT of at most HOT_BYTES bytes, go to every task, the rest are joined, a row for each document and word.
 
 Defined results: a null text counts as empty and has the end token only; a null doc_id counts as training
 and is kept as null; without training texts N and V are 0 and both scores follow from the smoothing alone;
@@ -217,6 +217,21 @@ def learned(training: DataFrame, depth: int = DEPTH, share: float = MIN_SHARE, l
     return Tree({r.context.to_bytes(8, "big")[8 - r.d :]: {x & 255: x >> 8 for x in r.nexts} for r in rows}, least)
 
 
+def _frequent(words: DataFrame, most: int = HOT, size: int = HOT_BYTES) -> DataFrame:
+    """At most so many words(word, n) of at most so many bytes, those with the largest counts.
+
+    The cut lies between steps of a scale of counts, which few rows describe however many words there are;
+    tasks send no word that isn't wanted.
+    """
+    short = words.where(F.octet_length("word") <= size).withColumn("step", F.floor(F.log("n") / math.log(1.02)))
+    left, cut = most, None
+    for step, count in sorted((tuple(r) for r in short.groupBy("step").agg(F.count("*")).collect()), reverse=True):
+        if count > left:
+            break
+        left, cut = left - count, step
+    return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word", "n")
+
+
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
     spark = docs.sparkSession
@@ -225,15 +240,17 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     training = rows.where(~F.col("held_out")).select("text")
     tree = spark.sparkContext.broadcast(learned(training))  # bounded by MIN_SHARE
     words = stored(count_words(training), "words")
-    tokens, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = F.sum(F.when(F.col("word") == F.lit(bytes([END])), F.col("n")).otherwise(0))
+    tokens, different, ended = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
     total = tokens + different + 1
-    frequent = words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).collect()
+    end = math.log10((ended + 1) / total)
+    frequent = _frequent(words).collect()
     hot = spark.sparkContext.broadcast({bytes(r.word): math.log10((r.n + 1) / total) for r in frequent})  # HOT words of HOT_BYTES at most
     fields = [("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
     schema = pa.schema(fields)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, nan, end = hot.value.get, float("nan"), hot.value.get(bytes([END]), float("nan"))
+        get, nan = hot.value.get, float("nan")
         for batch, texts in _pieces(batches):
             scores = tree.value.scores(texts)
             tokens, known, base, owners, rare, times = [], [], [], [], [], []
@@ -243,8 +260,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
                 value = np.fromiter(map(get, words, repeat(nan)), np.float64, len(words))
                 other = np.flatnonzero(np.isnan(value)).tolist()
                 tokens.append(len(words) + 1)
-                known.append(len(words) - len(other) + (end == end))
-                base.append(float(np.nansum(value)) + (end if end == end else math.log10(1 / total)))
+                known.append(len(words) - len(other) + (ended > 0))
+                base.append(float(np.nansum(value)) + end)
                 if other:
                     found = Counter(words[j] for j in other)
                     owners += [row[i]] * len(found)
