@@ -1,10 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join training texts to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: shared word pairs join training texts to test items, Smith-Waterman scores them.
 
-Texts are lower-cased, ASCII punctuation counts as space. The n-grams of the items are counted over the
-whole corpus; of every WINDOW n-grams in a row the rarest is a seed, so a copied stretch of
-SEED_WORDS + WINDOW - 1 words always holds a seed, however common the item itself is in the corpus. Each
-seed in a text puts the item's stretch of text around it forward, and Smith-Waterman aligns the words
-(match 2, mismatch -1, gap -1). The score is the best local alignment's over that of the whole item.
+Texts are lower-cased, ASCII punctuation counts as space. Smith-Waterman aligns the words (match 2, mismatch
+-1, gap -1); the score is the best local alignment's over that of the whole item.
+
+The search before it loses nothing. An alignment of k matched words in r unbroken runs scores at most
+2 k - (r - 1), so one that reaches T has k + p >= T - 1, p = k - r the pairs of neighbouring matched words; of
+an item of m words k <= m, hence p >= T - 1 - m, and all lie within 3 m - T words of text. Every pair of an
+item is a seed, and a text is aligned where enough seeds lie that close and k + p is reached. Items so short
+that no pair is sure to be shared (5 words or less at MIN_SCORE) are sought by single words, T / 2 of them.
 
 The items are taken in blocks of at most BLOCK_WORDS words, each block broadcast; the size of a block, not
 of the benchmark, bounds memory. Texts never leave their task.
@@ -16,6 +19,7 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +30,6 @@ from pyspark.sql import functions as F
 
 from ._common import byte_column, mix, record_batch, table
 
-SEED_WORDS = 4
-WINDOW = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 #: Words of the items in one broadcast block (some 100 MB of tables).
@@ -84,10 +86,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """A block of items: their words as ids and, once seeds are chosen, the places of seeds."""
+    """A block of items: their words as ids and the items of every seed."""
 
-    def __init__(self, items: list[tuple[int | None, str]], n: int = SEED_WORDS):
-        self.n = n
+    def __init__(self, items: list[tuple[int | None, str]], least: float = MIN_SCORE):
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.words = [], []
         for key, text in items:
@@ -95,63 +96,84 @@ class Index:
             if words:
                 self.ids.append(key)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32))
-        # an item shorter than n words is sought by all of its words
-        self.grams = [(min(n, len(w)), _grams(w, min(n, len(w)))) for w in self.words]
-        self.sizes = sorted({k for k, _ in self.grams})
-        self.known = {k: np.unique(np.concatenate([g for m, g in self.grams if m == k])) for k in self.sizes}
+        m = np.array([len(w) for w in self.words], np.int64)
+        self.goal = np.array([max(1, math.ceil(least * MATCH * n - 1e-9)) for n in m.tolist()], np.int64)
+        self.reach = np.maximum(3 * m - self.goal, 1)
+        pairs = self.goal - 1 - m
+        self.need = np.where(pairs > 0, pairs, (self.goal + 1) // 2)
+        self.distinct = [np.unique(w) for w in self.words]
+        self.pairs = [np.unique(_grams(w, 2)) for w in self.words]
+        self.seeds: dict[int, np.ndarray] = {}
+        self.bounds: dict[int, np.ndarray] = {}
+        self.owners: dict[int, np.ndarray] = {}
+        for size in (1, 2):
+            chosen = [i for i in range(len(m)) if (pairs[i] > 0) == (size == 2)]
+            if chosen:
+                grams = [self.pairs[i] if size == 2 else np.unique(_grams(self.words[i], 1)) for i in chosen]
+                flat, owner = np.concatenate(grams), np.repeat(chosen, [len(g) for g in grams])
+                order = np.argsort(flat, kind="stable")
+                self.seeds[size], first = np.unique(flat[order], return_index=True)
+                self.bounds[size] = np.append(first, len(flat))
+                self.owners[size] = owner[order]
 
     def read(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int32, len(words))
 
-    def hits(self, ids: np.ndarray, among: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each gram size: the places in ids with a gram that is among these, and the gram's number there."""
-        for k in self.sizes:
-            grams = _grams(ids, k)
+    def near(self, ids: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(item, [(first, last)]): the places of the item's seeds wherever enough of them lie within its reach."""
+        for size, seeds in self.seeds.items():
+            grams = _grams(ids, size)
             at = np.flatnonzero(grams)
-            if len(at) and len(among[k]):
-                number = np.searchsorted(among[k], grams[at])
-                found = among[k][np.minimum(number, len(among[k]) - 1)] == grams[at]
-                yield k, at[found], number[found]
-
-    def choose(self, counts: dict[tuple[int, int], int], window: int = WINDOW) -> None:
-        """Takes the rarest n-gram of each window in a row as a seed; counts: by (size, gram as signed)."""
-        places: dict[int, dict[int, list[tuple[int, int]]]] = {k: {} for k in self.sizes}
-        for item, (k, grams) in enumerate(self.grams):
-            signed = grams.view(np.int64).tolist()
-            rank = [(counts.get((k, g), 0), g) for g in signed]
-            for lo in range(max(1, len(rank) - window + 1)):
-                at = min(range(lo, min(lo + window, len(rank))), key=rank.__getitem__)
-                if (item, at) not in (had := places[k].setdefault(int(grams[at]), [])):
-                    had.append((item, at))
-        self.seeds = {k: np.array(sorted(x), np.uint64) for k, x in places.items()}
-        self.places = {k: [x[s] for s in sorted(x)] for k, x in places.items()}
+            if not len(at):
+                continue
+            number = np.searchsorted(seeds, grams[at])
+            found = seeds[np.minimum(number, len(seeds) - 1)] == grams[at]
+            at, number = at[found], number[found]
+            if not len(at):
+                continue
+            bounds = self.bounds[size]
+            many = bounds[number + 1] - bounds[number]
+            begin = np.repeat(bounds[number] - np.cumsum(many) + many, many)
+            items, places = self.owners[size][begin + np.arange(len(begin))], np.repeat(at, many)
+            order = np.argsort(items, kind="stable")  # places stay in order
+            items, places = items[order], places[order]
+            last = np.arange(len(items)) + self.need[items] - 1
+            inside = np.minimum(last, len(items) - 1)
+            hit = np.flatnonzero((last < len(items)) & (items[inside] == items) & (places[inside] - places < self.reach[items]))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(items[hit])) + 1, [len(hit)])).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo < hi:
+                    part = hit[lo:hi]
+                    yield int(items[part[0]]), list(zip(places[part].tolist(), places[inside[part]].tolist(), strict=True))
+
+    def _can(self, item: int, ids: np.ndarray) -> bool:
+        """Whether words and pairs of the item within its reach are enough for its goal."""
+        score = np.isin(ids, self.distinct[item]).astype(np.int64)
+        score[:-1] += np.isin(_grams(ids, 2), self.pairs[item]) if len(ids) > 1 else 0
+        total = np.concatenate(([0], np.cumsum(score)))
+        reach = min(int(self.reach[item]), len(ids))
+        return int((total[reach:] - total[: len(total) - reach]).max()) >= self.goal[item] - 1
 
     def matches(self, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """(item, score, start, end) of each item aligned to ids at the least score or better; places in words."""
-        around: dict[int, set[int]] = {}
-        for k, at, number in self.hits(ids, self.seeds):
-            for place, seed in zip(at.tolist(), number.tolist(), strict=True):
-                for item, offset in self.places[k][seed]:
-                    around.setdefault(item, set()).add(place - offset)
         out = []
-        for item, begins in around.items():
-            words = self.words[item]
-            slack = len(words) // 2 + 2
-            best, last = (0, 0, 0), None
+        for item, clusters in self.near(ids):
+            words, reach = self.words[item], int(self.reach[item])
+            best = (0, 0, 0)
             spans: list[list[int]] = []
-            for begin in sorted(begins):  # where the item would begin; windows that overlap are one
-                lo, hi = max(0, begin - slack), min(len(ids), begin + len(words) + slack)
-                if last is not None and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * len(words) + 64:
+            for first, last in clusters:  # windows that overlap are one
+                lo, hi = max(0, last - reach), min(len(ids), first + reach + 1)
+                if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * len(words) + 64:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:
                     spans.append([lo, hi])
-                last = begin
             for lo, hi in spans:
-                score, a, b = align(words, ids[lo:hi])
-                if score > best[0]:
-                    best = (score, lo + a, lo + b)
+                if self._can(item, ids[lo:hi]):
+                    score, a, b = align(words, ids[lo:hi])
+                    if score > best[0]:
+                        best = (score, lo + a, lo + b)
             if best[0] >= least * MATCH * len(words):
                 out.append((item, best[0] / (MATCH * len(words)), best[1], best[2]))
         return out
@@ -171,40 +193,21 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
         yield block
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, window: int, block_words: int) -> Iterator[Broadcast[Index]]:
-    """An index for each block of items, with seeds chosen by their counts over all of docs, broadcast."""
-    context = docs.sparkSession.sparkContext
+def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, least: float, block_words: int) -> Iterator[Broadcast[Index]]:
+    """An index for each block of items, broadcast."""
     for items in _blocks(benchmark, item, item_text, block_words):
-        index = Index(items, n)
-        if not index.ids:
-            continue
-        held = context.broadcast(index)
-
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            sums = {k: np.zeros(len(x), np.int64) for k, x in index.known.items()}
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    for k, _, number in index.hits(index.read(text), index.known):
-                        sums[k][np.unique(number)] += 1
-            schema = pa.schema([("size", pa.int32()), ("gram", pa.int64()), ("docs", pa.int64())])
-            for k, x in sums.items():
-                at = np.flatnonzero(x)
-                yield record_batch(schema, [np.full(len(at), k, np.int32), index.known[k][at].view(np.int64), x[at]])
-
-        sums = docs.select(F.col(text).alias("text")).mapInArrow(count, "size int, gram bigint, docs bigint").groupBy("size", "gram").agg(F.sum("docs").alias("docs"))
-        index.choose({(r.size, r.gram): r.docs for r in sums.collect()}, window)  # no more rows than n-grams in the block
-        held.unpersist()
-        yield context.broadcast(index)
+        index = Index(items, least)
+        if index.ids:
+            yield docs.sparkSession.sparkContext.broadcast(index)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = MIN_SCORE, n: int = SEED_WORDS, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start, end): each item found in each text, its best place there in words."""
     form = "doc_id bigint, item_id bigint, score double, start int, end int"
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], form)
-    for held in _seeded(docs, benchmark, text, item, item_text, n, window, block_words):
+    for held in _indexes(docs, benchmark, item, item_text, least, block_words):
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -216,10 +219,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = MIN_SCORE, n: int = SEED_WORDS, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that hold no item, all their columns unchanged; nothing is shuffled."""
     out = docs
-    for held in _seeded(docs, benchmark, text, item, item_text, n, window, block_words):
+    for held in _indexes(docs, benchmark, item, item_text, least, block_words):
 
         def sieve(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value

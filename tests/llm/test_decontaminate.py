@@ -63,6 +63,35 @@ def test_common_items_are_found(spark):
     assert D.contaminated(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 50
 
 
+def test_edited_copies_are_found_as_by_brute_force(spark):
+    """One word in four, five or six replaced, words put in after every second, and items of 1 to 12 words."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    sizes = [1, 2, 3, 4, 5, 6, 7, *range(8, 13), *range(8, 13), 20, 30, 60]
+    items = [[rng.choice(words) for _ in range(n)] for n in sizes]
+    docs = []
+    for item in items:
+        copies = [[rng.choice(words) if j % every == every // 2 else w for j, w in enumerate(item)] for every in (4, 5, 6)]
+        copies.append([x for j, w in enumerate(item) for x in ((w, "extra") if j % 2 else (w,))])
+        copies += [[rng.choice(words) if rng.random() < 0.25 else w for w in item] for _ in range(6)]
+        copies.append([w for w in item if rng.random() < 0.8])
+        for copy in copies:
+            docs.append((len(docs), " ".join([rng.choice(words) for _ in range(rng.randint(0, 30))] + copy + [rng.choice(words) for _ in range(rng.randint(0, 30))])))
+    want = set()
+    for d, text in docs:
+        for i, item in enumerate(items):
+            score = brute_align(item, text.split())
+            if score >= D.MIN_SCORE * D.MATCH * len(item):
+                want.add((d, i, score / (D.MATCH * len(item))))
+    # intact copies elsewhere, so that broken n-grams are rarer than whole ones
+    docs += [(1000 + i, " ".join(x)) for i, x in enumerate(items)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    found = D.contaminated(frame, bench).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in found if r.doc_id < 1000} == want
+    assert {(1000 + i, i) for i in range(len(items))} <= {(r.doc_id, r.item_id) for r in found}
+
+
 def test_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven eight"), (None, "a b a b")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(odd, bench).collect()}
