@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of each text; the high bits of the hash depend on the last 32 bytes only,
 so cuts fall at the same places of a passage wherever it stands, and an insertion moves only the cuts near
-it. Chunks are deduplicated by a 128-bit digest over the whole corpus. Neighbouring repeated chunks of a
-document make a run, and runs of at least MIN_WORDS words are reported. A chunk that holds the least
+it. Chunks are deduplicated by a 64-bit digest over the whole corpus; a run holds several, so a chance
+collision of two digests makes none. Neighbouring repeated chunks of a document make a run, and runs of at least MIN_WORDS words are reported. A chunk that holds the least
 (doc_id, start) of its digest is the copy that stays.
 
 Defined results: a null or empty text has no chunk; a null doc_id is sorted before all others; repeated
@@ -12,11 +12,11 @@ rows are copies of each other; an empty table gives an empty result; further col
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +24,11 @@ from pyspark.sql.window import Window
 from ._common import SPACE, byte_column, code_points, mix, record_batch, table
 
 #: A cut follows a byte at which the top MASK_BITS bits of the hash are zero: one in 2 ** MASK_BITS bytes.
-MASK_BITS = 6
-MIN_BYTES, MAX_BYTES = 24, 1024
+MASK_BITS = 4
+MIN_BYTES, MAX_BYTES = 8, 1024
 #: Words in a run of repeated chunks that is reported. The ends of a repeated passage lie in chunks that
-#: reach beyond it, so a passage must be longer than this by up to two chunks to be sure to be found.
+#: reach beyond it, some 14 words together, so that passages of over 50 words hold such a run; of 1500
+#: simulated ones of 51 words one had none.
 MIN_WORDS = 20
 _CUT = "__spans_to_cut"
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -55,8 +56,14 @@ def cuts(data: np.ndarray, bits: int = MASK_BITS, least: int = MIN_BYTES, most:
 
 
 def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, start, end, words, digest): the chunks of every text, offsets in code points, end exclusive."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
+    """(doc_id, row, at, digest): the chunks of every text.
+
+    at holds a chunk's start and length in code points and its words, 32, 16 and 16 bits (a chunk has MAX_BYTES
+    at most): these rows are shuffled, and there are many.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("digest", pa.int64())])
+
+    digest = xxhash.xxh3_64_intdigest
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +71,7 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield part(batch.slice(at, 1000))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, starts, ends, words, digests = [], [], [], [], []
+        counts, places, digests = [], [], []
         for text in byte_column(batch, "text"):
             data = np.frombuffer(text, np.uint8)
             edge = cuts(data)
@@ -75,19 +82,18 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             points = code_points(data)[bounds]
             begins = SPACE[data] == 0
             begins[1:] &= SPACE[data[:-1]] == 1
-            words.append(np.diff(np.concatenate(([0], np.cumsum(begins)))[bounds]))
-            starts.append(points[:-1])
-            ends.append(points[1:])
+            words = np.diff(np.concatenate(([0], np.cumsum(begins)))[bounds])
+            places.append(points[:-1] << 32 | np.diff(points) << 16 | words)
             lo = 0
             for hi in edge:
-                digests.append(hashlib.blake2b(text[lo:hi], digest_size=16).digest())
+                digests.append(digest(text[lo:hi]))
                 lo = hi
-        whole = [np.concatenate(x).astype(np.int32) if x else [] for x in (starts, ends, words)]
         take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-        return record_batch(schema, [batch.column("doc_id").take(take), batch.column("row").take(take), *whole, digests])
+        whole = np.concatenate(places) if places else np.zeros(0, np.int64)
+        return record_batch(schema, [batch.column("doc_id").take(take), batch.column("row").take(take), whole, np.array(digests, np.uint64).view(np.int64)])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(kernel, "doc_id bigint, row bigint, start int, end int, words int, digest binary")
+    return rows.mapInArrow(kernel, "doc_id bigint, row bigint, at bigint, digest bigint")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -98,8 +104,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     """
     chunks = chunk_table(docs, key, text)
     # counted before the shuffle, so a chunk that a third of all documents share is a row for each task
-    shared = chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start")).alias("first")).where("copies > 1")
-    found = chunks.join(shared, "digest").withColumn("kept", F.col("first") == F.struct("doc_id", "row", "start")).drop("digest", "first")
+    shared = chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("copies > 1")
+    found = chunks.join(shared, "digest").select("doc_id", "row", "at", "copies", (F.col("first") == F.struct("doc_id", "row", "at")).alias("kept")).repartition("row")
+    start = F.shiftright("at", 32)
+    end = start + F.shiftright("at", 16).bitwiseAND(0xFFFF)
+    found = found.select("doc_id", "row", start.cast("int").alias("start"), end.cast("int").alias("end"), F.col("at").bitwiseAND(0xFFFF).alias("words"), "copies", "kept")
     by = Window.partitionBy("row").orderBy("start")
     joined = (F.lag("end").over(by) == F.col("start")) & (F.lag("kept").over(by) == F.col("kept"))
     runs = found.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))

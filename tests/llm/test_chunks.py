@@ -63,6 +63,17 @@ def test_runs_equal_brute_force(spark):
     assert cut[201] == "" and cut[200] == dict(rows)[200] and all(cut[d] == t for d, t in rows if d < 100)
 
 
+def test_passages_just_over_fifty_words_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        passage = text(rng, rng.choice((51, 51, 55, 60)))
+        rows += [(2 * i + j, f"{text(rng, rng.randint(0, 60))} {passage} {text(rng, rng.randint(0, 60))}") for j in (0, 1)]
+    found = {(r.doc_id, r.kept) for r in C.repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    both = sum((2 * i, True) in found and (2 * i + 1, False) in found for i in range(300))
+    assert both >= 298 and not C.repeated_runs(spark.createDataFrame(rows[::2], "doc_id bigint, text string")).count()
+
+
 def test_odd_rows(spark, odd, empty):
     assert C.repeated_runs(empty).count() == 0
     got = C.repeated_runs(odd).collect()
