@@ -1,13 +1,17 @@
 """Personal data: patterned entities, and the terms that give them away.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The method counts over the
-whole corpus in how many documents a term stands within NEAR words of an entity of a kind, n(t, k), and in
-how many it stands at all, n(t). With p(k), the share of documents with an entity of the kind, the
-disclosure of a term is its pointwise mutual information over the entity's information content,
-log2(p(k | t) / p(k)) / -log2 p(k) with p(k | t) = n(t, k) / n(t): 1 if the term stands nowhere else.
-Terms at MIN_DISCLOSURE or more that stand near at least MIN_ENTITIES different entities are spans of kind
-term wherever they stand near an entity of that kind. In a sanitised text entities are generalised to
-their kind and such terms are removed.
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The disclosure of a term t is
+its pointwise mutual information with what it gives away, x, over the information content of x,
+log2(p(x | t) / p(x)) / -log2 p(x): 1 if the term stands nowhere else. p(x) is the share of documents with x,
+p(x | t) = n(t, x) / n(t) of those with t, counted over the whole corpus. A term discloses at MIN_DISCLOSURE or
+more for one of these, if its support is MIN_ENTITIES or more:
+
+* x a kind, t within NEAR words of an entity of it; the support is the number of different entities;
+* x a kind, t anywhere in the document; the support is the number of different texts;
+* x one entity, t anywhere in the document; the support is the number of different texts.
+
+It is a span of kind term wherever it stands, outside entities, in a document with x. In a sanitised text
+entities are generalised to their kind and such terms are removed.
 
 Defined results: a null text counts as empty; without entities there are no terms; a kind that every
 document has discloses nothing; a null doc_id is kept as null; repeated rows give a row each, and count
@@ -91,29 +95,62 @@ def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return sorted(out)
 
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_CLOSE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("entity", T.StringType())])
-_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_ARROW_CLOSE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("kind", pa.int32()), ("entity", pa.string())]))
+def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms outside all entities, in order."""
+    out, at, reached = [], 0, 0
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reached = max(reached, spans[at][2])
+            at += 1
+        if reached <= m.start():
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_INT, _STRING = T.IntegerType(), T.StringType()
+_SPAN = _struct(start=_INT, kind=_INT, end=_INT)
+_MARKS = _struct(
+    _hash=T.LongType(),
+    _row=T.LongType(),
+    _spans=T.ArrayType(_SPAN),
+    _near=T.ArrayType(_struct(term=_STRING, kind=_INT, entity=_STRING)),
+    _found=T.ArrayType(_struct(kind=_INT, entity=_STRING)),
+    _terms=T.ArrayType(_struct(start=_INT, end=_INT, term=_STRING)),
+)
+_ARROW = {
+    "_spans": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
+    "_near": pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.string())])),
+    "_found": pa.list_(pa.struct([("kind", pa.int32()), ("entity", pa.string())])),
+    "_terms": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())])),
+}
 
 
 def _marked(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, _row, _spans and _near of every row, as a written table."""
+    """The columns to keep and _MARKS of every row, as a written table; only rows with entities have terms."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            made: dict[str, list] = {name: [] for name in _ARROW}
             for value in batch.column("_text").to_pylist():
                 found = entities(value or "")
-                spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-                near.append([dict(zip(("start", "end", "term", "kind", "entity"), x, strict=True)) for x in neighbours(value, found)] if found else [])
-            held = [batch.column(c) for c in (*keep, "_row")]
-            names = [*keep, "_row", "_spans", "_near"]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(spans, _ARROW_SPAN), pa.array(near, _ARROW_CLOSE)], names=names)
-
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("_row", T.LongType()), T.StructField("_spans", T.ArrayType(_SPAN)), T.StructField("_near", T.ArrayType(_CLOSE))])
+                rows = {
+                    "_spans": found,
+                    "_near": sorted({x[2:] for x in neighbours(value, found)}) if found else [],
+                    "_found": sorted({(k, value[a:b]) for a, k, b in found}),
+                    "_terms": terms(value, found) if found else [],
+                }
+                for name, kind in _ARROW.items():
+                    names = [f.name for f in kind.value_type]
+                    made[name].append([dict(zip(names, x, strict=True)) for x in rows[name]])
+            held = [batch.column(c) for c in (*keep, "_hash", "_row")]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(made[n], k) for n, k in _ARROW.items())], names=[*keep, *_MARKS.names])
+
+    rows = docs.select(*keep, F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *_MARKS.fields])
     return stored(rows.mapInArrow(kernel, schema), "marked")
 
 
@@ -135,25 +172,63 @@ def term_documents(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(kernel, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
+def _beside(marked: DataFrame, least: int = MIN_ENTITIES) -> tuple[DataFrame, DataFrame]:
+    """(_row, _hash, term, kind) and (_row, _hash, term, kind, entity): the terms of each row by what else it holds.
+
+    Only entities in so many different texts are there: beside others no term has that support.
+    """
+    words = F.explode(F.array_distinct(F.transform("_terms", lambda x: x["term"]))).alias("term")
+    rows = marked.where(F.size("_terms") > 0)
+    kinds = F.explode(F.array_distinct(F.transform("_found", lambda x: x["kind"]))).alias("kind")
+    found = rows.select("_row", "_hash", F.explode("_found").alias("x")).select("_row", "_hash", "x.kind", F.xxhash64("x.entity").alias("entity"))
+    often = found.select("kind", "entity", "_hash").distinct().groupBy("kind", "entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    held = found.join(often, ["kind", "entity"]).select("_row", "kind", "entity")
+    return rows.select("_row", "_hash", "_found", words).select("_row", "_hash", "term", kinds), rows.select("_row", "_hash", "_terms").join(held, "_row").select("_row", "_hash", words, "kind", "entity")
+
+
+def _supported(beside: DataFrame, what: list[str], least: int) -> DataFrame:
+    """(term, what, both): in how many documents; repeated texts count once towards the support."""
+    texts = beside.groupBy("term", *what, "_hash").agg(F.count("*").alias("n"))
+    return texts.groupBy("term", *what).agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
+
+
 def disclosing(docs: DataFrame, marked: DataFrame, text: str, least: float = MIN_DISCLOSURE, entities: int = MIN_ENTITIES) -> DataFrame:
-    """(term, kind, disclosure) of the terms at the thresholds or above."""
+    """(term, kind, entity) of the terms at the thresholds or above; entity, as a hash, is null for the whole kind."""
     near = marked.select("_row", F.explode("_near").alias("n")).select("_row", "n.term", "n.kind", F.xxhash64("n.entity").alias("entity"))
     # documents before entities, so that what a copied text repeats is summed up first
     documents = near.select("_row", "term", "kind").distinct().groupBy("term", "kind").agg(F.count("*").alias("both"))
     different = near.select("term", "kind", "entity").distinct().groupBy("term", "kind").agg(F.count("*").alias("entities")).where(F.col("entities") >= entities)
-    kinds = marked.select(F.explode(F.array_distinct(F.transform("_spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("with_kind"))
+    by_kind, by_entity = _beside(marked, entities)
+    of_kind = documents.join(different, ["term", "kind"]).select("term", "kind", "both").union(_supported(by_kind, ["kind"], entities))
+    of_kind = of_kind.groupBy("term", "kind").agg(F.max("both").alias("both"))
+    of_entity = _supported(by_entity, ["kind", "entity"], entities)
+    found = marked.select(F.explode("_found").alias("x"), "_row").select("x.kind", F.xxhash64("x.entity").alias("entity"), "_row")
+    kinds = found.select("kind", "_row").distinct().groupBy("kind").agg(F.count("*").alias("with"))
+    each = found.groupBy("kind", "entity").agg(F.count("*").alias("with"))
     total = marked.agg(F.count("*").alias("all"))
-    counted = documents.join(different, ["term", "kind"]).join(term_documents(docs, text), "term").join(F.broadcast(kinds), "kind").join(F.broadcast(total))
-    share = F.col("with_kind") / F.col("all")
+    none = F.lit(None).cast("bigint")
+    candidates = of_kind.join(F.broadcast(kinds), "kind").select("term", "kind", none.alias("entity"), "both", "with")
+    candidates = candidates.union(of_entity.join(each, ["kind", "entity"]).select("term", "kind", "entity", "both", "with"))
+    counted = candidates.join(term_documents(docs, text), "term").join(F.broadcast(total))
+    share = F.col("with") / F.col("all")
     pmi = F.log2(F.col("both") / F.greatest("docs", "both") / share)
-    return counted.where(share < 1).select("term", "kind", (pmi / -F.log2(share)).alias("disclosure")).where(F.col("disclosure") >= least)
+    return counted.where(share < 1).where(pmi / -F.log2(share) >= least).select("term", "kind", "entity")
 
 
 def _added(marked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_row, _added): the term spans of the rows that have any."""
-    near = marked.select("_row", F.explode("_near").alias("n")).select("_row", "n.start", "n.end", "n.term", "n.kind")
-    hit = near.join(terms.select("term", "kind"), ["term", "kind"]).select("_row", F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end").alias("s"))
-    return hit.groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("_added"))
+    """(_row, _hits): the disclosing terms of the rows that have any."""
+    by_kind, by_entity = _beside(marked)
+    terms = stored(terms, "terms")
+    of_kind = by_kind.join(terms.where("entity is null").select("term", "kind"), ["term", "kind"]).select("_row", "term")
+    of_entity = by_entity.join(terms.where("entity is not null"), ["term", "kind", "entity"]).select("_row", "term")
+    return of_kind.union(of_entity).groupBy("_row").agg(F.collect_set("term").alias("_hits"))
+
+
+def _term_spans() -> Column:
+    """The spans of a row's disclosing terms, in order."""
+    hit = F.filter("_terms", lambda x: F.array_contains("_hits", x["term"]))
+    spans = F.transform(hit, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), x["end"].alias("end")))
+    return F.when(F.col("_hits").isNull(), F.array().cast(T.ArrayType(_SPAN))).otherwise(spans)
 
 
 def spelled(spans: Column) -> Column:
@@ -168,8 +243,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     marked = _marked(rows, "text", ["doc_id"])
     added = _added(marked, disclosing(rows, marked, "text"))
     none = F.array().cast(T.ArrayType(_SPAN))
-    plain = marked.where(F.size("_near") == 0).select("doc_id", F.col("_spans").alias("base"), none.alias("added"))
-    joined = marked.where(F.size("_near") > 0).join(added, "_row", "left").select("doc_id", F.col("_spans").alias("base"), F.coalesce("_added", none).alias("added"))
+    plain = marked.where(F.size("_terms") == 0).select("doc_id", F.col("_spans").alias("base"), none.alias("added"))
+    joined = marked.where(F.size("_terms") > 0).join(added, "_row", "left").select("doc_id", F.col("_spans").alias("base"), _term_spans().alias("added"))
     return plain.union(joined)
 
 
@@ -185,7 +260,7 @@ def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with sanitised texts, all their columns in order. Only rows with terms near entities are joined."""
+    """docs with sanitised texts, all their columns in order. Only rows with terms and entities are joined."""
     # numbered names can't clash with those made here
     plainly = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     count = f"c{docs.columns.index('n_chars')}" if "n_chars" in docs.columns else ""
@@ -195,9 +270,8 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
 def _sanitised(docs: DataFrame, text: str, count: str) -> DataFrame:
     marked = _marked(docs, text, docs.columns)
     added = _added(marked, disclosing(docs, marked, text))
-    none = F.array().cast(T.ArrayType(_SPAN))
-    plain = marked.where(F.size("_near") == 0).select(*docs.columns, F.col("_spans").alias("_all"))
-    joined = marked.where(F.size("_near") > 0).join(added, "_row", "left").select(*docs.columns, F.concat("_spans", F.coalesce("_added", none)).alias("_all"))
+    plain = marked.where(F.size("_terms") == 0).select(*docs.columns, F.col("_spans").alias("_all"))
+    joined = marked.where(F.size("_terms") > 0).join(added, "_row", "left").select(*docs.columns, F.concat("_spans", _term_spans()).alias("_all"))
 
     names = docs.columns
 

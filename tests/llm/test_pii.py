@@ -69,6 +69,26 @@ def test_disclosing_terms(spark):
     assert clean[0] == "please [REMOVED] now [PHONE] word" and clean[8] == "rare thing [PHONE] word" and clean[20] == rows[20][1]
 
 
+def test_terms_that_disclose_one_entity(spark):
+    """'zorro' stands far from one address in six texts and in three without it; most texts have an address."""
+    filler = "many common words that each text holds again so that there is some way between " * 4
+    rows = [f"zorro writes {i} {filler} to z@x.org and Zorro signs" for i in range(6)] + [f"zorro {filler} {i}" for i in range(3)]
+    rows += [f"{filler} p{i}@y.org writes and signs" for i in range(54)] + [f"{filler} {i} writes and signs" for i in range(37)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in P.sanitised(frame).collect()}
+    for i, text in enumerate(rows):
+        want = re.sub("(?i)zorro", P.REMOVED, text) if i < 6 else text
+        assert clean[i] == re.sub(r"[a-z0-9]+@[xy]\.org", "[EMAIL]", want)
+
+
+def test_terms_of_a_kind_go_wherever_they_stand(spark):
+    filler = "many common words that each text holds again so that there is some way between " * 4
+    rows = [f"callme {filler} now +1 (743) 555-{1000 + i}" for i in range(8)] + [f"{filler} now {i}" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in P.sanitised(frame).collect()}
+    assert clean == {i: f"{P.REMOVED} {filler} now [PHONE]" if i < 8 else text for i, text in enumerate(rows)}
+
+
 def test_sanitise():
     assert P.sanitise("ab cd ef", [(0, 0, 2), (3, 4, 5)]) == "[EMAIL] [REMOVED] ef"
     assert P.sanitise("abcdef", [(1, 1, 4), (2, 2, 6)]) == "a[IP]"  # what overlaps goes with it
