@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,5 +96,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Sieve:
+    """A Bloom filter of SIEVE_BITS bits, however many keys it holds.
+
+    It only spares work: what it lets through by chance goes when the rows are joined with the keys. Beyond some
+    millions of keys it lets ever more through and spares less.
+    """
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, keys: DataFrame, key: str) -> Sieve:
+        """The sieve of a bigint column of hashes; the driver gets SIEVE_BITS / 64 rows at most."""
+        places = F.explode(F.array(F.col(key).bitwiseAND(SIEVE_BITS - 1), F.shiftrightunsigned(key, 40).bitwiseAND(SIEVE_BITS - 1)))
+        rows = keys.select(places.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).collect()
+        words = np.zeros(SIEVE_BITS // 64, np.int64)
+        for r in rows:
+            words[r.word] = r.bits
+        return cls(words.astype("<i8").tobytes())
+
+    def __contains__(self, key: int) -> bool:
+        a, b = key & (SIEVE_BITS - 1), (key >> 40) & (SIEVE_BITS - 1)
+        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
+
+
+#: A megabyte.
+SIEVE_BITS = 1 << 23
+
+
+def text_hash(text: str) -> int:
+    """Spark's xxhash64 of a text, unsigned."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

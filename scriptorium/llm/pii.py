@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import record_batch, stored, table
+from ._common import Sieve, record_batch, stored, table, text_hash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, NEAR_CHARS = 4, 128
@@ -111,124 +111,187 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-_INT, _STRING = T.IntegerType(), T.StringType()
+_INT, _LONG, _STRING = T.IntegerType(), T.LongType(), T.StringType()
 _SPAN = _struct(start=_INT, kind=_INT, end=_INT)
 _MARKS = _struct(
-    _hash=T.LongType(),
-    _row=T.LongType(),
+    _hash=_LONG,
+    _row=_LONG,
     _spans=T.ArrayType(_SPAN),
     _near=T.ArrayType(_struct(term=_STRING, kind=_INT, entity=_STRING)),
     _found=T.ArrayType(_struct(kind=_INT, entity=_STRING)),
-    _terms=T.ArrayType(_struct(start=_INT, end=_INT, term=_STRING)),
+    _held=_STRING,
 )
 _ARROW = {
     "_spans": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
     "_near": pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.string())])),
     "_found": pa.list_(pa.struct([("kind", pa.int32()), ("entity", pa.string())])),
-    "_terms": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())])),
 }
+#: Entries of a task's table of counts before it sends them.
+SENT = 300_000
 
 
 def _marked(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns to keep and _MARKS of every row, as a written table; only rows with entities have terms."""
+    """The columns to keep and _MARKS of every row, as a written table; _held is the text of rows with entities."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {name: [] for name in _ARROW}
+            texts = []
             for value in batch.column("_text").to_pylist():
                 found = entities(value or "")
                 rows = {
                     "_spans": found,
                     "_near": sorted({x[2:] for x in neighbours(value, found)}) if found else [],
                     "_found": sorted({(k, value[a:b]) for a, k, b in found}),
-                    "_terms": terms(value, found) if found else [],
                 }
+                texts.append(value if found else None)
                 for name, kind in _ARROW.items():
                     names = [f.name for f in kind.value_type]
                     made[name].append([dict(zip(names, x, strict=True)) for x in rows[name]])
             held = [batch.column(c) for c in (*keep, "_hash", "_row")]
-            yield pa.RecordBatch.from_arrays([*held, *(pa.array(made[n], k) for n, k in _ARROW.items())], names=[*keep, *_MARKS.names])
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(made[n], k) for n, k in _ARROW.items()), pa.array(texts, pa.string())], names=[*keep, *_MARKS.names])
 
     rows = docs.select(*keep, F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *_MARKS.fields])
     return stored(rows.mapInArrow(kernel, schema), "marked")
 
 
-def term_documents(docs: DataFrame, text: str) -> DataFrame:
-    """(term, docs): in how many documents each term stands; a task sums up before it sends."""
+def term_documents(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(term, docs): in how many documents each term of wanted(term) stands, and maybe some more; a task sums up before it sends."""
     schema = pa.schema([("term", pa.string()), ("docs", pa.int64())])
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(wanted.select(F.xxhash64("term").alias("key")), "key"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            some = {t: n for t, n in counts.items() if text_hash(t) in sieve.value}
+            counts.clear()
+            return record_batch(schema, [list(some), list(some.values())])
+
         for batch in batches:
             for value in batch.column("_text").to_pylist():
                 if value:
                     counts.update(set(_TERM.findall(value.lower())))
-                if len(counts) > 300_000:
-                    yield record_batch(schema, [list(counts), list(counts.values())])
-                    counts = Counter()
-        yield record_batch(schema, [list(counts), list(counts.values())])
+                if len(counts) > SENT:
+                    yield sent()
+        yield sent()
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(kernel, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def _beside(marked: DataFrame, least: int = MIN_ENTITIES) -> tuple[DataFrame, DataFrame]:
-    """(_row, _hash, term, kind) and (_row, _hash, term, kind, entity): the terms of each row by what else it holds.
+def _with_entities(marked: DataFrame) -> DataFrame:
+    """(_row, _hash, _held, _spans, _kinds, _keys) of the rows with entities; _keys are the entities' hashes."""
+    rows = marked.where(F.size("_found") > 0)
+    keys = F.transform("_found", lambda x: F.xxhash64(x["kind"], x["entity"]))
+    return rows.select("_row", "_hash", "_held", "_spans", F.transform("_found", lambda x: x["kind"]).alias("_kinds"), keys.alias("_keys"))
+
+
+def _unsigned(key: int) -> int:
+    return key & 0xFFFFFFFFFFFFFFFF
+
+
+def _beside(marked: DataFrame, often: Sieve, least: int) -> DataFrame:
+    """(term, kind, entity, both): terms in the documents of a kind (entity 0) or of an entity in so many different texts or more.
 
-    Only entities in so many different texts are there: beside others no term has that support.
+    A task sums up before it sends, with least different texts of each entry at most: if there are so many
+    in the corpus, a task has so many, or the tasks send all they have.
     """
-    words = F.explode(F.array_distinct(F.transform("_terms", lambda x: x["term"]))).alias("term")
-    rows = marked.where(F.size("_terms") > 0)
-    kinds = F.explode(F.array_distinct(F.transform("_found", lambda x: x["kind"]))).alias("kind")
-    found = rows.select("_row", "_hash", F.explode("_found").alias("x")).select("_row", "_hash", "x.kind", F.xxhash64("x.entity").alias("entity"))
-    often = found.select("kind", "entity", "_hash").distinct().groupBy("kind", "entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
-    held = found.join(often, ["kind", "entity"]).select("_row", "kind", "entity")
-    return rows.select("_row", "_hash", "_found", words).select("_row", "_hash", "term", kinds), rows.select("_row", "_hash", "_terms").join(held, "_row").select("_row", "_hash", words, "kind", "entity")
+    schema = pa.schema([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("n", pa.int64()), ("hash", pa.int64())])
+    held = marked.sparkSession.sparkContext.broadcast(often)
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int, int], int] = {}
+        texts: dict[tuple[str, int, int], set[int]] = {}
+        sieve = held.value
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = [(*key, n if not i else 0, x) for key, n in counts.items() for i, x in enumerate(texts[key])]
+            counts.clear()
+            texts.clear()
+            for lo in range(0, len(rows), 100_000):
+                yield record_batch(schema, [list(x) for x in zip(*rows[lo : lo + 100_000], strict=True)])
 
-def _supported(beside: DataFrame, what: list[str], least: int) -> DataFrame:
-    """(term, what, both): in how many documents; repeated texts count once towards the support."""
-    texts = beside.groupBy("term", *what, "_hash").agg(F.count("*").alias("n"))
-    return texts.groupBy("term", *what).agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
+        for batch in batches:
+            hashes = batch.column("_hash").to_pylist()
+            for value, spans, kinds, keys, own in zip(*(batch.column(c).to_pylist() for c in ("_held", "_spans", "_kinds", "_keys")), hashes, strict=True):
+                what = {(k, 0) for k in kinds} | {(k, x) for k, x in zip(kinds, keys, strict=True) if _unsigned(x) in sieve}
+                for t in {x for _, _, x in terms(value, [tuple(s.values()) for s in spans])}:
+                    for k, x in what:
+                        key = (t, k, x)
+                        if key in counts:
+                            counts[key] += 1
+                            seen = texts[key]
+                            if len(seen) < least:
+                                seen.add(own)
+                        else:
+                            counts[key] = 1
+                            texts[key] = {own}
+                if len(counts) > SENT:
+                    yield from sent()
+        yield from sent()
+
+    rows = _with_entities(marked).mapInArrow(kernel, "term string, kind int, entity bigint, n bigint, hash bigint").repartition("term", "kind", "entity")
+    each = rows.groupBy("term", "kind", "entity", "hash").agg(F.sum("n").alias("n"))
+    return each.groupBy("term", "kind", "entity").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least).drop("texts")
 
 
 def disclosing(docs: DataFrame, marked: DataFrame, text: str, least: float = MIN_DISCLOSURE, entities: int = MIN_ENTITIES) -> DataFrame:
-    """(term, kind, entity) of the terms at the thresholds or above; entity, as a hash, is null for the whole kind."""
+    """(term, kind, entity) of the terms at the thresholds or above; entity is a hash, 0 for the whole kind."""
     near = marked.select("_row", F.explode("_near").alias("n")).select("_row", "n.term", "n.kind", F.xxhash64("n.entity").alias("entity"))
     # documents before entities, so that what a copied text repeats is summed up first
     documents = near.select("_row", "term", "kind").distinct().groupBy("term", "kind").agg(F.count("*").alias("both"))
     different = near.select("term", "kind", "entity").distinct().groupBy("term", "kind").agg(F.count("*").alias("entities")).where(F.col("entities") >= entities)
-    by_kind, by_entity = _beside(marked, entities)
-    of_kind = documents.join(different, ["term", "kind"]).select("term", "kind", "both").union(_supported(by_kind, ["kind"], entities))
-    of_kind = of_kind.groupBy("term", "kind").agg(F.max("both").alias("both"))
-    of_entity = _supported(by_entity, ["kind", "entity"], entities)
-    found = marked.select(F.explode("_found").alias("x"), "_row").select("x.kind", F.xxhash64("x.entity").alias("entity"), "_row")
-    kinds = found.select("kind", "_row").distinct().groupBy("kind").agg(F.count("*").alias("with"))
-    each = found.groupBy("kind", "entity").agg(F.count("*").alias("with"))
+    found = marked.select(F.explode("_found").alias("x"), "_row", "_hash").select("x.kind", F.xxhash64("x.kind", "x.entity").alias("entity"), "_row", "_hash")
+    kinds = found.select("kind", "_row").distinct().groupBy("kind").agg(F.count("*").alias("with")).select("kind", F.lit(0).cast("bigint").alias("entity"), "with")
+    # beside entities in fewer texts no term has the support
+    each = found.groupBy("kind", "entity", "_hash").agg(F.count("*").alias("n")).groupBy("kind", "entity").agg(F.sum("n").alias("with"), F.count("*").alias("texts"))
+    each = stored(each.where(F.col("texts") >= entities).select("kind", "entity", "with"), "entities")
+    beside = _beside(marked, Sieve.of(each, "entity"), entities)
+    zero = F.lit(0).cast("bigint").alias("entity")
+    pairs = documents.join(different, ["term", "kind"]).select("term", "kind", zero, "both").union(beside.select("term", "kind", "entity", "both"))
+    pairs = stored(pairs.groupBy("term", "kind", "entity").agg(F.max("both").alias("both")).join(each.union(kinds), ["kind", "entity"]).select("term", "kind", "entity", "both", "with"), "pairs")
+    # one row
     total = marked.agg(F.count("*").alias("all"))
-    none = F.lit(None).cast("bigint")
-    candidates = of_kind.join(F.broadcast(kinds), "kind").select("term", "kind", none.alias("entity"), "both", "with")
-    candidates = candidates.union(of_entity.join(each, ["kind", "entity"]).select("term", "kind", "entity", "both", "with"))
-    counted = candidates.join(term_documents(docs, text), "term").join(F.broadcast(total))
+    counted = pairs.join(term_documents(docs, text, pairs), "term").join(F.broadcast(total))
     share = F.col("with") / F.col("all")
     pmi = F.log2(F.col("both") / F.greatest("docs", "both") / share)
     return counted.where(share < 1).where(pmi / -F.log2(share) >= least).select("term", "kind", "entity")
 
 
-def _added(marked: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_row, _hits): the disclosing terms of the rows that have any."""
-    by_kind, by_entity = _beside(marked)
-    terms = stored(terms, "terms")
-    of_kind = by_kind.join(terms.where("entity is null").select("term", "kind"), ["term", "kind"]).select("_row", "term")
-    of_entity = by_entity.join(terms.where("entity is not null"), ["term", "kind", "entity"]).select("_row", "term")
-    return of_kind.union(of_entity).groupBy("_row").agg(F.collect_set("term").alias("_hits"))
+def _added(marked: DataFrame, terms_found: DataFrame) -> DataFrame:
+    """(_row, _added): the spans of the disclosing terms of the rows that have any, in order."""
+    spark = marked.sparkSession
+    wanted = stored(terms_found, "terms")
+    sieve = spark.sparkContext.broadcast(Sieve.of(wanted.select(F.xxhash64("term").alias("key")), "key"))
+    schema = pa.schema([("_row", pa.int64()), ("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("at", pa.list_(pa.int32()))])
 
-
-def _term_spans() -> Column:
-    """The spans of a row's disclosing terms, in order."""
-    hit = F.filter("_terms", lambda x: F.array_contains("_hits", x["term"]))
-    spans = F.transform(hit, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), x["end"].alias("end")))
-    return F.when(F.col("_hits").isNull(), F.array().cast(T.ArrayType(_SPAN))).otherwise(spans)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe: dict[str, bool] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for row, value, spans, kinds, keys in zip(*(batch.column(c).to_pylist() for c in ("_row", "_held", "_spans", "_kinds", "_keys")), strict=True):
+                places: dict[str, list[int]] = {}
+                for a, b, t in terms(value, [tuple(s.values()) for s in spans]):
+                    if (good := maybe.get(t)) is None:
+                        if len(maybe) > SENT:
+                            maybe.clear()
+                        good = maybe[t] = text_hash(t) in sieve.value
+                    if good:
+                        places.setdefault(t, []).extend((a, b))
+                what = {(k, 0) for k in kinds} | set(zip(kinds, keys, strict=True))
+                out += [(row, t, k, x, at) for t, at in places.items() for k, x in what]
+            yield record_batch(schema, [list(x) for x in zip(*out, strict=True)] or [[]] * 5)
+
+    rows = _with_entities(marked).mapInArrow(kernel, "_row bigint, term string, kind int, entity bigint, at array<int>")
+    hits = rows.join(wanted, ["term", "kind", "entity"]).groupBy("_row").agg(F.flatten(F.collect_set("at")).alias("at"))
+    starts = F.filter("at", lambda _, i: i % 2 == 0)
+    ends = F.filter("at", lambda _, i: i % 2 == 1)
+    return hits.select("_row", F.array_sort(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), F.lit(KINDS.index("term")).alias("kind"), b.alias("end")))).alias("_added"))
+
+
+def _none() -> Column:
+    return F.array().cast(T.ArrayType(_SPAN))
 
 
 def spelled(spans: Column) -> Column:
@@ -242,9 +305,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marked = _marked(rows, "text", ["doc_id"])
     added = _added(marked, disclosing(rows, marked, "text"))
-    none = F.array().cast(T.ArrayType(_SPAN))
-    plain = marked.where(F.size("_terms") == 0).select("doc_id", F.col("_spans").alias("base"), none.alias("added"))
-    joined = marked.where(F.size("_terms") > 0).join(added, "_row", "left").select("doc_id", F.col("_spans").alias("base"), _term_spans().alias("added"))
+    plain = marked.where(F.size("_found") == 0).select("doc_id", F.col("_spans").alias("base"), _none().alias("added"))
+    joined = marked.where(F.size("_found") > 0).join(added, "_row", "left").select("doc_id", F.col("_spans").alias("base"), F.coalesce("_added", _none()).alias("added"))
     return plain.union(joined)
 
 
@@ -270,8 +332,8 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
 def _sanitised(docs: DataFrame, text: str, count: str) -> DataFrame:
     marked = _marked(docs, text, docs.columns)
     added = _added(marked, disclosing(docs, marked, text))
-    plain = marked.where(F.size("_terms") == 0).select(*docs.columns, F.col("_spans").alias("_all"))
-    joined = marked.where(F.size("_terms") > 0).join(added, "_row", "left").select(*docs.columns, F.concat("_spans", _term_spans()).alias("_all"))
+    plain = marked.where(F.size("_found") == 0).select(*docs.columns, F.col("_spans").alias("_all"))
+    joined = marked.where(F.size("_found") > 0).join(added, "_row", "left").select(*docs.columns, F.concat("_spans", F.coalesce("_added", _none())).alias("_all"))
 
     names = docs.columns
 
