@@ -2,47 +2,52 @@
 
 Symbols are the bytes of a text's words, ASCII letters lower-cased, joined by single spaces, and one end
 symbol. Counts of all contexts of up to DEPTH bytes with the next symbol come from the whole training part
-of the corpus. A context that makes up at least MIN_SHARE of all positions is tested against its longest
-retained suffix: it is retained if the divergence of its next symbols from that suffix's is at least
-MIN_DIVERGENCE (nats a symbol) and, times its count, at least the number of its different next symbols.
-Distributions are smoothed by Witten and Bell's rule towards that suffix, the root's by adding one to each
-of 256 bytes. A text is scored from the longest retained suffix of the DEPTH bytes before each symbol.
+of the corpus. A context seen MIN_COUNT times or more is tested against its longest retained suffix: it is
+retained if the divergence of its next symbols from that suffix's is at least MIN_DIVERGENCE (nats a symbol)
+and, times its count, at least the number of its different next symbols. Distributions are smoothed by Witten
+and Bell's rule towards that suffix, the root's by adding one to each of 256 bytes. A symbol is scored from
+the longest retained suffix of the DEPTH bytes before it.
 
-MIN_SHARE bounds the model: no depth has more than 1 / MIN_SHARE contexts, however large the corpus.
+The tree is a table, and grows with the corpus: a row for each DEPTH bytes with their next symbol that occur in
+any text, with the symbol's probability. It is made in tasks that hold all contexts with the same last two
+bytes; those of one byte and the root are at most 65,536 numbers. The most frequent rows, HOT_CODES at most, go
+to every task; the others are joined, a row for each text and such place. Neither way changes a score.
 
-Base scores need the count of every word. The counts are a table; the most frequent words, at
-most HOT of at most HOT_BYTES bytes, go to every task, the rest are joined, a row for each document and word.
+Base scores need the count of every word, in the same way: the most frequent words, at most HOT of at most
+HOT_BYTES bytes together, go to every task, the rest are joined, a row for each document and word.
 
 Defined results: a null text counts as empty and has the end token only; a null doc_id counts as training
 and is kept as null; without training texts N and V are 0 and both scores follow from the smoothing alone;
-repeated rows are counted and returned each; an empty table gives an empty result; further columns are
-ignored.
+texts of any length are scored whole; repeated rows are counted and returned each; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import byte_column, fold, record_batch, stored, table
 
 DEPTH = 5
-MIN_SHARE = 5e-6
+MIN_COUNT = 2
 MIN_DIVERGENCE = 0.005
 FOLDS, HELD_OUT = 7, 2
-HOT, HOT_BYTES = 131_072, 64
+HOT, HOT_BYTES = 131_072, 8_388_608
+HOT_CODES = 1_048_576
 #: Ends a text, fills the context before its first byte, and stands for the end token: no word has it.
 END = 10
 #: Bytes of text that a task works on at a time; entries of a task's table of counts before it sends them.
 PIECE, SENT = 4_000_000, 3_000_000
-SEGMENT = 128
+#: Rows of whole groups of contexts that are worked on together.
+ROWS = 200_000
 
 
 def symbols(text: bytes) -> bytes:
@@ -70,8 +75,8 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends - sizes, ends
 
 
-def gram_counts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (context, symbol) codes of some texts, eight bits a byte, and their counts."""
+def codes_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, symbol) code of each symbol, eight bits a byte, and how many symbols each text has."""
     data, starts, ends = _laid_out(texts)
     code = np.zeros(len(data) - depth, np.uint64)
     for i in range(depth + 1):
@@ -79,7 +84,12 @@ def gram_counts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.
     valid = np.zeros(len(data) + 1, np.int8)
     valid[starts] += 1
     valid[ends] -= 1
-    return np.unique(code[np.cumsum(valid[:-1])[depth:] > 0], return_counts=True)
+    return code[np.cumsum(valid[:-1])[depth:] > 0], ends - starts
+
+
+def gram_counts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of some texts, and their counts."""
+    return np.unique(codes_of(texts, depth)[0], return_counts=True)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +100,18 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes[first], np.add.reduceat(counts, first)
 
 
-def count_grams(training: DataFrame) -> DataFrame:
-    """(code, n) over training(text); tasks send sums."""
+def count_grams(rows: DataFrame) -> DataFrame:
+    """(code, n) of all codes of rows(held_out, text), counted where not held out; tasks send sums."""
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, texts in _pieces(batches):
-            parts.append(gram_counts(texts))
+        for batch, texts in _pieces(batches):
+            out = batch.column("held_out").to_pylist()
+            for held in (False, True):
+                if some := [t for t, x in zip(texts, out, strict=True) if x == held]:
+                    codes, counts = gram_counts(some)
+                    parts.append((codes, counts * (not held)))
             if sum(len(x) for x, _ in parts) > SENT:
                 parts = [_merge(parts)]
                 if len(parts[0][0]) > SENT // 2:
@@ -108,7 +122,7 @@ def count_grams(training: DataFrame) -> DataFrame:
             for lo in range(0, len(codes), 100_000):
                 yield record_batch(schema, [codes[lo : lo + 100_000].view(np.int64), counts[lo : lo + 100_000]])
 
-    return training.mapInArrow(kernel, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(kernel, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -129,107 +143,84 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.mapInArrow(kernel, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """The retained contexts as an automaton: next states and log10 probabilities by state and class of byte."""
-
-    def __init__(self, contexts: dict[bytes, dict[int, int]], least: float = MIN_DIVERGENCE):
-        """contexts: the counts of the next symbols of each frequent context, the empty one among them."""
-        root = contexts.get(b"", {})
-        self.classes = np.full(256, len(root), np.int64)  # the last class is of bytes that never came
-        for c, x in enumerate(sorted(root)):
-            self.classes[x] = c
-        width = len(root) + 1
-        probability = np.ones(width) / (sum(root.values()) + 256)
-        for x, n in root.items():
-            probability[self.classes[x]] *= n + 1
-        self.retained: dict[bytes, np.ndarray] = {b"": probability}
-        for context in sorted(contexts, key=lambda x: (len(x), x)):
-            if not context:
+def deepened(codes: np.ndarray, n: np.ndarray, p: np.ndarray, depths: Iterable[int], least: float, count: int) -> np.ndarray:
+    """The probability of each distinct code's symbol after contexts of more and more bytes.
+
+    p is the one from the longest retained suffix of fewer bytes than the first of the depths. All codes of each
+    context of that depth must be there.
+    """
+    for d in depths:
+        pair, of_pair = np.unique(codes & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        hits = np.bincount(of_pair, n, len(pair))
+        above = np.empty(len(pair))
+        above[of_pair] = p
+        _, of_context = np.unique(pair >> np.uint64(8), return_inverse=True)
+        total = np.bincount(of_context, hits)
+        seen = hits > 0
+        kinds = np.bincount(of_context, seen)
+        part = np.zeros(len(pair))
+        part[seen] = hits[seen] * np.log(hits[seen] / total[of_context[seen]] / above[seen])
+        gain = np.bincount(of_context, part)
+        retained = (total >= max(count, 1)) & (gain >= least * total) & (gain >= kinds)
+        total, kinds, retained = total[of_context], kinds[of_context], retained[of_context]
+        smoothed = (above * kinds + hits) / np.maximum(total + kinds, 1)
+        p = np.where(retained, smoothed, above)[of_pair]
+    return p
+
+
+def learned(rows: DataFrame, depth: int = DEPTH, least: float = MIN_DIVERGENCE, count: int = MIN_COUNT) -> DataFrame:
+    """(code, n, log): the tree of rows(held_out, text), a written table; log is of base 10."""
+    grams = stored(count_grams(rows), "grams")
+    short = np.zeros(1 << 16)
+    for r in grams.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
+        short[r.pair] = r.n
+    root = short.reshape(256, 256).sum(0)
+    pairs = np.arange(1 << 16, dtype=np.uint64)
+    first = deepened(pairs, short, np.tile((root + 1) / (root.sum() + 256), 256), (1,), least, count)
+    above = rows.sparkSession.sparkContext.broadcast(first)
+    schema = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("log", pa.float32())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by the last two bytes of their contexts; whole groups are worked on."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            whole = codes.view(np.uint64)
+            p = deepened(whole, n, above.value[(whole & np.uint64(0xFFFF)).astype(np.int64)], range(2, depth + 1), least, count)
+            return record_batch(schema, [codes, n, np.log10(p).astype(np.float32)])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            counts = contexts[context]
-            place = self.classes[list(counts)]
-            n = np.array(list(counts.values()), np.float64)
-            parent = self.retained[self.longest(context[1:])]
-            total = n.sum()
-            divergence = float((n * np.log(n / total / parent[place])).sum() / total)
-            if divergence >= least and divergence * total >= len(n):
-                smoothed = parent * len(n)
-                smoothed[place] += n
-                self.retained[context] = smoothed / (total + len(n))
-        names = {x[:i] for x in self.retained for i in range(len(x) + 1)}
-        order = sorted(names, key=lambda x: (len(x), x))
-        number = {x: i for i, x in enumerate(order)}
-        self.width = width
-        self.next = np.zeros((len(order), width), np.int32)
-        self.log = np.empty((len(order), width), np.float32)
-        followers: dict[bytes, list[bytes]] = {}
-        for x in order[1:]:
-            followers.setdefault(x[:-1], []).append(x)
-        for i, x in enumerate(order):
-            if x:
-                shorter = x[1:]
-                while shorter not in number:
-                    shorter = shorter[1:]
-                self.next[i] = self.next[number[shorter]]
-            for y in followers.get(x, ()):
-                self.next[i, self.classes[y[-1]]] = number[y]
-            self.log[i] = np.log10(self.retained[self.longest(x)])
-
-    def longest(self, context: bytes) -> bytes:
-        """The longest retained suffix of a context."""
-        while context not in self.retained:
-            context = context[1:]
-        return context
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text. Segments are walked side by side, each after DEPTH bytes of context."""
-        data, starts, ends = _laid_out(texts)
-        data = self.classes[data].astype(np.int32)
-        count = -(-(ends - starts) // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), count)
-        begin = starts[owner] + SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
-        size = np.minimum(SEGMENT, ends[owner] - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order] - DEPTH, size[order], owner[order]
-        alive = len(owner) - np.searchsorted(size[::-1], np.arange(SEGMENT), side="right")
-        state, total = np.zeros(len(owner), np.int32), np.zeros(len(owner))
-        flat, log = self.next.reshape(-1), self.log.reshape(-1)
-        for t in range(DEPTH + SEGMENT):
-            n = len(owner) if t < DEPTH else int(alive[t - DEPTH])
-            if not n:
-                break
-            at = state[:n] * np.int64(self.width) + data[begin[:n] + t]
-            if t >= DEPTH:
-                total[:n] += log[at]
-            state[:n] = flat[at]
-        return np.bincount(owner, total, len(texts))
-
-
-def learned(training: DataFrame, depth: int = DEPTH, share: float = MIN_SHARE, least: float = MIN_DIVERGENCE) -> Tree:
-    """The tree of training(text)."""
-    grams = stored(count_grams(training), "grams")
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    level = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << 8 * (d + 1)) - 1).alias("mask")) for d in range(depth + 1)])).alias("x")
-    cut = grams.select("n", "code", level).select(F.col("x.d").alias("d"), F.col("code").bitwiseAND(F.col("x.mask")).alias("code"), "n").groupBy("d", "code").agg(F.sum("n").alias("n"))
-    context = F.shiftright("code", 8).alias("context")
-    whole = cut.groupBy("d", context).agg(F.sum("n").alias("total"), F.collect_list(F.col("n") * 256 + F.col("code").bitwiseAND(255)).alias("nexts"))
-    rows = whole.where((F.col("total") >= math.ceil(share * positions)) | (F.col("d") == 0)).select("d", "context", "nexts").collect()
-    return Tree({r.context.to_bytes(8, "big")[8 - r.d :]: {x & 255: x >> 8 for x in r.nexts} for r in rows}, least)
-
-
-def _frequent(words: DataFrame, most: int = HOT, size: int = HOT_BYTES) -> DataFrame:
-    """At most so many words(word, n) of at most so many bytes, those with the largest counts.
-
-    The cut lies between steps of a scale of counts, which few rows describe however many words there are;
-    tasks send no word that isn't wanted.
+            held.append((batch.column("code").to_numpy(), batch.column("n").to_numpy()))
+            if sum(len(x) for x, _ in held) >= ROWS:
+                codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                group = codes >> 8 & 0xFFFF
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield done(codes[:whole], n[:whole])
+                held = [(codes[whole:], n[whole:])]
+        if held:
+            yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    group = F.shiftright("code", 8).bitwiseAND(0xFFFF)
+    return stored(grams.repartition(group).sortWithinPartitions(group).mapInArrow(kernel, "code bigint, n bigint, log float"), "tree")
+
+
+def _frequent(rows: DataFrame, most: int, size: Column | None = None, room: int = 0) -> DataFrame:
+    """At most so many rows with the largest n, their sizes at most the room if one is given.
+
+    The cut lies between steps of a scale of counts, which few rows describe however many there are; tasks
+    send no row that isn't wanted.
     """
-    short = words.where(F.octet_length("word") <= size).withColumn("step", F.floor(F.log("n") / math.log(1.02)))
-    left, cut = most, None
-    for step, count in sorted((tuple(r) for r in short.groupBy("step").agg(F.count("*")).collect()), reverse=True):
-        if count > left:
+    steps = rows.withColumn("step", F.floor(F.log("n") / math.log(1.02))).where("n > 0")
+    cut = None
+    for step, count, taken in sorted((tuple(r) for r in steps.groupBy("step").agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).collect()), reverse=True):
+        most, room = most - count, room - taken
+        if most < 0 or room < 0:
             break
-        left, cut = left - count, step
-    return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word", "n")
+        cut = step
+    return steps.where(F.lit(False) if cut is None else F.col("step") >= cut).drop("step")
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -237,48 +228,64 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     spark = docs.sparkSession
     out = F.coalesce(fold(key, folds) == held_out, F.lit(False))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
-    training = rows.where(~F.col("held_out")).select("text")
-    tree = spark.sparkContext.broadcast(learned(training))  # bounded by MIN_SHARE
-    words = stored(count_words(training), "words")
+    tree = learned(rows.select("held_out", "text"))
+    most = _frequent(tree, HOT_CODES).select("code", "log").toArrow().sort_by("code")
+    known = spark.sparkContext.broadcast((most.column("code").to_numpy().view(np.uint64), most.column("log").to_numpy()))  # HOT_CODES at most
+    words = stored(count_words(rows.where(~F.col("held_out")).select("text")), "words")
     ends = F.sum(F.when(F.col("word") == F.lit(bytes([END])), F.col("n")).otherwise(0))
     tokens, different, ended = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
     total = tokens + different + 1
     end = math.log10((ended + 1) / total)
-    frequent = _frequent(words).collect()
-    hot = spark.sparkContext.broadcast({bytes(r.word): math.log10((r.n + 1) / total) for r in frequent})  # HOT words of HOT_BYTES at most
-    fields = [("row", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    frequent = _frequent(words, HOT, F.octet_length("word"), HOT_BYTES).toArrow()
+    hot = spark.sparkContext.broadcast({w: math.log10((n + 1) / total) for w, n in zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True)})  # HOT words, HOT_BYTES at most
+    fields = [("row", pa.int64()), ("word", pa.binary()), ("code", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
     schema = pa.schema(fields)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, nan = hot.value.get, float("nan")
+        some, logs = known.value
         for batch, texts in _pieces(batches):
-            scores = tree.value.scores(texts)
-            tokens, known, base, owners, rare, times = [], [], [], [], [], []
+            codes, sizes = codes_of(texts)
+            distinct, place = np.unique(codes, return_inverse=True)
+            at = np.minimum(np.searchsorted(some, distinct), max(len(some) - 1, 0))
+            here = some[at] == distinct if len(some) else np.zeros(len(distinct), bool)
+            log = np.zeros(len(distinct))
+            log[here] = logs[at[here]]
+            of_text = np.repeat(np.arange(len(texts)), sizes)
+            scores = np.bincount(of_text, log[place], len(texts))
+            tokens, in_training, base, owners, rare, times = [], [], [], [], [], []
             row = batch.column("row").to_pylist()
             for i, text in enumerate(texts):
                 words = text.lower().split()
                 value = np.fromiter(map(get, words, repeat(nan)), np.float64, len(words))
                 other = np.flatnonzero(np.isnan(value)).tolist()
                 tokens.append(len(words) + 1)
-                known.append(len(words) - len(other) + (ended > 0))
+                in_training.append(len(words) - len(other) + (ended > 0))
                 base.append(float(np.nansum(value)) + end)
                 if other:
                     found = Counter(words[j] for j in other)
                     owners += [row[i]] * len(found)
                     rare += found
                     times += found.values()
-            yield record_batch(schema, [batch.column("row"), [None] * len(texts), batch.column("doc_id"), batch.column("held_out"), tokens, known, base, scores])
+            blank = [None] * len(texts)
+            yield record_batch(schema, [batch.column("row"), blank, blank, batch.column("doc_id"), batch.column("held_out"), tokens, in_training, base, scores])
             if owners:
                 blank = [None] * len(owners)
-                yield record_batch(schema, [owners, rare, blank, blank, times, blank, blank, blank])
-
-    found = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(kernel, "row bigint, word binary, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"), "scored")
+                yield record_batch(schema, [owners, rare, blank, blank, blank, times, blank, blank, blank])
+            absent = ~here[place]
+            if absent.any():
+                pairs, n = np.unique(np.stack([of_text[absent].astype(np.uint64), codes[absent]]), axis=1, return_counts=True)
+                blank = [None] * len(n)
+                yield record_batch(schema, [np.array(row, np.int64)[pairs[0].astype(np.int64)], blank, pairs[1].view(np.int64), blank, blank, n, blank, blank, blank])
+
+    found = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(kernel, "row bigint, word binary, code bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"), "scored")
     count = F.coalesce("n", F.lit(0))
-    # words beyond the most frequent: none of them is in many rows
+    # words and codes beyond the most frequent: none of them is in many rows
+    places = found.where("code is not null").select("row", "code", "n_tokens").join(tree.select("code", "log"), "code").groupBy("row").agg(F.sum(F.col("n_tokens") * F.col("log").cast("double")).alias("places"))
     rare = found.where("word is not null").select("row", "word", "n_tokens").join(words, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.when(count > 0, F.col("n_tokens")).otherwise(0)).alias("more"), F.sum(F.col("n_tokens") * F.log10((count + 1) / F.lit(float(total)))).alias("rest"))
-    whole = found.where("word is null").join(rare, "row", "left")
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    whole = found.where("word is null and code is null").join(rare, "row", "left").join(places, "row", "left")
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("places", F.lit(0.0))).alias("score"))
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

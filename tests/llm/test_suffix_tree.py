@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -28,18 +29,50 @@ def test_counts():
     assert {int(c).to_bytes(8, "big")[2:]: int(n) for c, n in zip(codes, counts, strict=True)} == want
 
 
-def test_scores_are_the_longest_retained_suffixes():
-    tree = S.Tree(contexts(TEXTS, S.DEPTH), 0.005)
-    assert 1 < len(tree.retained) < len(contexts(TEXTS, S.DEPTH))
-    for p in tree.retained.values():  # each is a distribution over 256 bytes
-        assert math.isclose(p[:-1].sum() + p[-1] * (256 - len(p) + 1), 1)
-    long = b" ".join([b"the cat zq"] * 100)
-    texts = [*TEXTS, long, b"Unseen WORDS here", b""]
-    got = tree.scores(texts)
-    for t, score in zip(texts, got, strict=True):
-        data = bytes([S.END]) * S.DEPTH + S.symbols(t) + bytes([S.END])
-        want = sum(math.log10(tree.retained[tree.longest(data[i - S.DEPTH : i])][tree.classes[data[i]]]) for i in range(S.DEPTH, len(data)))
-        assert math.isclose(score, want, rel_tol=1e-5)
+class Tree:
+    """The tree as its definition says, context by context."""
+
+    def __init__(self, counts):
+        root = counts.get(b"", {})
+        self.retained = {b"": {x: (root.get(x, 0) + 1) / (sum(root.values()) + 256) for x in range(256)}}
+        for context in sorted(counts, key=len):
+            n, total = counts[context], sum(counts[context].values())
+            parent = self.retained[self.longest(context[1:])]
+            divergence = sum(c * math.log(c / total / parent[x]) for x, c in n.items()) / total
+            if context and total >= S.MIN_COUNT and divergence >= S.MIN_DIVERGENCE and divergence * total >= len(n):
+                self.retained[context] = {x: (parent[x] * len(n) + n.get(x, 0)) / (total + len(n)) for x in range(256)}
+
+    def longest(self, context):
+        while context not in self.retained:
+            context = context[1:]
+        return context
+
+    def score(self, text):
+        data = bytes([S.END]) * S.DEPTH + S.symbols(text) + bytes([S.END])
+        return sum(math.log10(self.retained[self.longest(data[i - S.DEPTH : i])][data[i]]) for i in range(S.DEPTH, len(data)))
+
+
+@pytest.mark.parametrize("hot", [S.HOT_CODES, 40, 0])
+def test_scores_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_CODES", hot)
+    monkeypatch.setattr(S, "ROWS", 50)
+    rows = list(enumerate([*TEXTS, b" ".join([b"the cat zq"] * 100), b"Unseen WORDS here", b""] * 3))
+    training = [t for d, t in rows if zlib.crc32(str(d).encode()) % S.FOLDS != S.HELD_OUT]
+    tree = Tree(contexts(training, S.DEPTH))
+    assert 1 < len(tree.retained) < len(contexts(training, S.DEPTH))
+    assert all(math.isclose(sum(p.values()), 1) for p in tree.retained.values())
+    frame = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in S.scored(frame).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        assert math.isclose(got[d], tree.score(t), rel_tol=1e-5), (d, t)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    rng = random.Random(3)
+    some = lambda n: [(False, "".join(rng.choice("abcdefgh") for _ in range(40))) for _ in range(n)]
+    sizes = [S.learned(spark.createDataFrame(some(n), "held_out boolean, text string")).count() for n in (50, 500, 5000)]
+    assert sizes[1] > 5 * sizes[0] and sizes[2] > 5 * sizes[1]
 
 
 def brute(rows):
@@ -56,7 +89,7 @@ def shaped(frame):
 
 @pytest.mark.parametrize("hot", [S.HOT, 2])
 def test_base(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(S._frequent, "__defaults__", (hot, S.HOT_BYTES))
+    monkeypatch.setattr(S, "HOT", hot)
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     found = S.scored(odd)
     assert shaped(found) == brute(rows)
