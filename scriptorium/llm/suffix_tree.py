@@ -44,8 +44,8 @@ HOT, HOT_BYTES = 131_072, 8_388_608
 HOT_CODES = 1_048_576
 #: Ends a text, fills the context before its first byte, and stands for the end token: no word has it.
 END = 10
-#: Bytes of text that a task works on at a time; entries of a task's table of counts before it sends them.
-PIECE, SENT = 4_000_000, 3_000_000
+#: Bytes of text that a task counts or scores at a time; entries of a task's table of counts before it sends them.
+PIECE, SCORED, SENT = 4_000_000, 500_000, 3_000_000
 #: Rows of whole groups of contexts that are worked on together.
 ROWS = 200_000
 
@@ -244,7 +244,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, nan = hot.value.get, float("nan")
         some, logs = known.value
-        for batch, texts in _pieces(batches):
+        for batch, texts in _pieces(batches, SCORED):
             codes, sizes = codes_of(texts)
             distinct, place = np.unique(codes, return_inverse=True)
             at = np.minimum(np.searchsorted(some, distinct), max(len(some) - 1, 0))
