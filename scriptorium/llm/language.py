@@ -6,9 +6,11 @@ language give a Nystroem map; ridge regression, one language against the rest, i
 language in the mapped space. Texts are scored by products of presence matrices with the landmarks'.
 
 The fit takes the least rows by hash of doc_id among those of at most MAX_BYTES bytes whose fold is not
-HELD_OUT; its size is bounded by these parameters and the number of languages.
+HELD_OUT; its size is bounded by these parameters and the number of languages. Landmarks have LANDMARK_BYTES
+bytes of text together (or one text a language, if that is more), and are broadcast as sparse n-gram lists of
+at most 12 bytes for each n-gram of a text.
 
-Defined results: null text or text without a letter is ``und`` with score 0, as is everything when no row
+Defined results: texts of any length are read whole; null text or text without a letter is ``und`` with score 0, as is everything when no row
 can be learned from; a null doc_id counts as held in; a null lang is never learned; ties go to the
 language first in order; repeated rows give a row each; an empty table gives an empty result; further
 columns are ignored.
@@ -33,6 +35,8 @@ MAX_BYTES = 65536
 RIDGE, SHARPNESS = 1e-2, 6.0
 FOLDS, HELD_OUT = 4, 2
 BATCH = 128
+#: Cells of a presence matrix that a task lays out at a time; bytes of all landmarks' texts (a text a language at least).
+CELLS, LANDMARK_BYTES = 1 << 22, 1 << 24
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,21 +54,52 @@ def profile(text: str, sizes: tuple[int, ...] = N) -> np.ndarray:
 
 
 class Kernels:
-    """The landmarks, and the kernel of any profiles with them."""
+    """The landmarks, and the kernel of any profiles with them.
+
+    What is broadcast is sparse: for each n-gram the landmarks that have it, in proportion to their texts.
+    """
 
     def __init__(self, profiles: list[np.ndarray]):
-        self.grams = np.unique(np.concatenate(profiles))
-        self.matrix = np.zeros((len(self.grams), len(profiles)), np.float32)
-        for j, x in enumerate(profiles):
-            self.matrix[np.searchsorted(self.grams, x), j] = 1 / np.sqrt(len(x))
+        every = np.concatenate(profiles)
+        self.grams = np.unique(every)
+        owner = np.repeat(np.arange(len(profiles), dtype=np.int32), [len(x) for x in profiles])
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.starts = np.searchsorted(every[order], self.grams)
+        self.starts = np.append(self.starts, len(every))
+        self.scale = _scale(profiles)
 
     def of(self, profiles: list[np.ndarray]) -> np.ndarray:
-        present = np.zeros((len(profiles), len(self.grams)), np.float32)
-        for i, x in enumerate(profiles):
-            if len(x):
-                at = np.minimum(np.searchsorted(self.grams, x), len(self.grams) - 1)
-                present[i, at[self.grams[at] == x]] = 1 / np.sqrt(len(x))
-        return present @ self.matrix
+        """Products of the presence matrices of the profiles and the landmarks, CELLS of a matrix at a time."""
+        width = len(self.scale)
+        shared = np.zeros((len(profiles), width), np.float32)
+        if len(self.grams):
+            every = np.concatenate(profiles)
+            row = np.repeat(np.arange(len(profiles)), [len(x) for x in profiles])
+            at = np.minimum(np.searchsorted(self.grams, every), len(self.grams) - 1)
+            known = self.grams[at] == every
+            row, at = row[known], at[known]
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            step = max(1, CELLS // max(width, len(profiles)))
+            for lo in range(0, len(self.grams), step):
+                hi = min(lo + step, len(self.grams))
+                a, b = np.searchsorted(at, (lo, hi))
+                if a == b:
+                    continue
+                mine = self.starts[lo : hi + 1]
+                landmarks = np.zeros((hi - lo, width), np.float32)
+                landmarks[np.repeat(np.arange(hi - lo), np.diff(mine)), self.owner[mine[0] : mine[-1]]] = 1
+                present = np.zeros((len(profiles), hi - lo), np.float32)
+                present[row[a:b], at[a:b] - lo] = 1
+                shared += present @ landmarks
+        return shared * _scale(profiles)[:, None] * self.scale
+
+
+def _scale(profiles: list[np.ndarray]) -> np.ndarray:
+    """One over the root of each profile's size, 0 for an empty one."""
+    sizes = np.array([len(x) for x in profiles], np.float64)
+    return np.where(sizes > 0, 1 / np.sqrt(np.maximum(sizes, 1)), 0).astype(np.float32)
 
 
 class Model:
@@ -110,7 +145,11 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     chosen = rows.select("k", "l", F.xxhash64("t").alias("h")).withColumn("n", rank).where(F.col("n") <= FIT)
     chosen = chosen.select(F.col("k").alias("ck"), F.col("l").alias("cl"), F.col("h").alias("ch"), "n")
     sample = rows.join(F.broadcast(chosen), (F.col("l") == F.col("cl")) & F.col("k").eqNullSafe(F.col("ck")) & (F.xxhash64("t") == F.col("ch"))).select("l", "n", "t")
-    landmarks = sorted({(r.l, r.n, r.t) for r in sample.where(F.col("n") <= LANDMARKS).collect()})
+    # each language has its share of the bytes: the first texts in order that fit, one at least
+    size = F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = sample.where(F.col("n") <= LANDMARKS).withColumn("size", size)
+    share = LANDMARK_BYTES // max(1, few.select("l").distinct().count())
+    landmarks = sorted({(r.l, r.n, r.t) for r in few.where((F.col("n") == 1) | (F.col("size") <= share)).collect()})
     if not landmarks:
         return None
     kernels = Kernels([profile(t) for _, _, t in landmarks])
