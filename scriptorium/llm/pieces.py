@@ -5,15 +5,16 @@ space or line end. The distinct words of a batch are sorted, which lays out a tr
 keeps the forward scores of the prefix that it shares with the word before and goes on from there. The
 best path maximises the sum of the pieces' scores in the vocabulary file among the paths whose neighbouring
 pieces are admitted; a character without a piece has the least score less UNKNOWN and becomes its bytes.
-The vocabulary is one of merges, so a pair is admitted if the merges of its joint text give that pair. A
-sequence all of whose pairs are so is the one that the merges of the whole word give, and each prefix has
-just one; the ids are those of the vocabulary's own encoder.
+The vocabulary is one of merges, so a pair is admitted if the merges of its joint text give that pair: without
+that condition the best path is not the vocabulary's encoding (README has figures). A sequence all of whose
+pairs are admitted is the one that the merges of the whole word give; the ids are those of the vocabulary's own
+encoder.
 
 The cut is exact as long as no piece has a space after another character, or a line end beside one; a
 vocabulary with such pieces raises an error. The sign U+2581 in a text is encoded as bytes, not as a space,
 so decoding gives every text back.
 
-Defined results: a null text gives no pieces, as does an empty one, and decodes to the empty text; a null
+Defined results: texts of any length are encoded whole; a null text gives no pieces, as does an empty one, and decodes to the empty text; a null
 doc_id is kept as null; repeated rows give a row each; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -116,23 +117,26 @@ class Pieces:
         admitted = {} if admitted is None else admitted
         best: list[float] = [0.0]  # for each end in the word before: the score of its path, and its last piece
         piece: list[str] = [""]
-        last = ""
+        last, floor = "", float("-inf")
         for word in sorted(words):
             same, most = 0, min(len(word), len(last))
             while same < most and word[same] == last[same]:
                 same += 1
             del best[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                # longest pieces first; a prefix has one path whose pairs are all admitted
+                # the forward step: the best of the paths that end in a piece which their last one admits
+                top, by = floor, ""
                 for n in lengths.get(word[max(0, end - 3) : end], short):
                     if n <= end and (found := score.get(right := word[end - n : end])):
-                        left = piece[end - n]
-                        if (fits := admitted.get((left, right))) is None:
-                            fits = admitted[left, right] = not left or self.admitted(left, right)
-                        if fits:
-                            best.append(best[end - n] + found[0])
-                            piece.append(right)
-                            break
+                        if (total := best[end - n] + found[0]) > top:
+                            left = piece[end - n]
+                            if (fits := admitted.get((left, right))) is None:
+                                fits = admitted[left, right] = not left or self.admitted(left, right)
+                            if fits:
+                                top, by = total, right
+                if by:
+                    best.append(top)
+                    piece.append(by)
                 else:
                     best.append(best[end - 1] + unknown)
                     piece.append(word[end - 1])

@@ -37,6 +37,25 @@ def test_each_word_alone_equals_the_shared_trie(vocabulary):
     assert all(vocabulary.decode([vocabulary.score[" "][1], *ids]) == w for w, ids in together.items())
 
 
+def test_the_path_is_the_best_of_all_admitted_ones(vocabulary):
+    rng = random.Random(9)
+
+    def paths(word):
+        """All ways to cut a word into pieces whose pairs are admitted, with their scores."""
+        if not word:
+            yield [], 0.0
+        for n in range(1, len(word) + 1):
+            if (last := word[len(word) - n :]) in vocabulary.reached:
+                for before, score in paths(word[: len(word) - n]):
+                    if not before or vocabulary.admitted(before[-1], last):
+                        yield [*before, last], score + vocabulary.reached[last][0]
+
+    words = {"".join(rng.choice(" theinrsaolpdcm") for _ in range(rng.randint(1, 9))) for _ in range(300)}
+    for word, ids in vocabulary.encode_words(list(words)).items():
+        best, _ = max(paths(word), key=lambda x: x[1])
+        assert [vocabulary.reached[x][1] for x in best] == list(ids)
+
+
 def test_round_trip_of_odd_rows(spark, odd, empty, vocabulary):
     coded = P.encoded(odd)
     assert all(r.round_trip for r in coded.collect()) and coded.count() == odd.count()
