@@ -96,33 +96,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A megabyte.
+SIEVE_BITS = 1 << 23
+
+
 class Sieve:
-    """A Bloom filter of SIEVE_BITS bits, however many keys it holds.
+    """A Bloom filter of a fixed number of bits, however many keys it holds.
 
-    It only spares work: what it lets through by chance goes when the rows are joined with the keys. Beyond some
-    millions of keys it lets ever more through and spares less.
+    It only spares work: what it lets through by chance goes when the rows are joined with the keys. With more
+    keys than it has bits for it lets ever more through and spares less.
     """
 
-    def __init__(self, bits: bytes):
-        self.bits = bits
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.raw = words.astype("<u8").tobytes()
+        self.most = 64 * len(words) - 1
 
     @classmethod
-    def of(cls, keys: DataFrame, key: str) -> Sieve:
-        """The sieve of a bigint column of hashes; the driver gets SIEVE_BITS / 64 rows at most."""
-        places = F.explode(F.array(F.col(key).bitwiseAND(SIEVE_BITS - 1), F.shiftrightunsigned(key, 40).bitwiseAND(SIEVE_BITS - 1)))
-        rows = keys.select(places.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).collect()
-        words = np.zeros(SIEVE_BITS // 64, np.int64)
-        for r in rows:
-            words[r.word] = r.bits
-        return cls(words.astype("<i8").tobytes())
+    def of(cls, keys: DataFrame, key: str, bits: int = SIEVE_BITS) -> Sieve:
+        """The sieve of a bigint column of hashes; the driver gets bits / 64 rows at most."""
+        places = F.explode(F.array(F.col(key).bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1)))
+        rows = keys.select(places.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.int64)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+        return cls(words.view(np.uint64))
 
     def __contains__(self, key: int) -> bool:
-        a, b = key & (SIEVE_BITS - 1), (key >> 40) & (SIEVE_BITS - 1)
-        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
-
-
-#: A megabyte.
-SIEVE_BITS = 1 << 23
+        a, b = key & self.most, (key >> 32) & self.most
+        return bool(self.raw[a >> 3] >> (a & 7) & self.raw[b >> 3] >> (b & 7) & 1)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of an array of unsigned hashes is let through."""
+        out = np.ones(len(keys), bool)
+        for at in (keys & np.uint64(self.most), keys >> np.uint64(32) & np.uint64(self.most)):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
 def text_hash(text: str) -> int:

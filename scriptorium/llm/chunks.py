@@ -6,8 +6,9 @@ it. Chunks are deduplicated by a 64-bit digest over the whole corpus; a run hold
 collision of two digests makes none. Neighbouring repeated chunks of a document make a run, and runs of at least MIN_WORDS words are reported. A chunk that holds the least
 (doc_id, start) of its digest is the copy that stays.
 
-Defined results: a null or empty text has no chunk; a null doc_id is sorted before all others; repeated
-rows are copies of each other; an empty table gives an empty result; further columns are ignored.
+Defined results: a null or empty text has no chunk, and texts of any length are cut whole; a null doc_id is
+sorted before all others; repeated rows are copies of each other, and of rows with one doc_id the one read
+first stays; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE, byte_column, code_points, mix, record_batch, table
+from ._common import SPACE, Sieve, byte_column, code_points, mix, record_batch, stored, table
 
 #: A cut follows a byte at which the top MASK_BITS bits of the hash are zero: one in 2 ** MASK_BITS bytes.
 MASK_BITS = 4
@@ -30,6 +31,10 @@ MIN_BYTES, MAX_BYTES = 8, 1024
 #: reach beyond it, some 14 words together, so that passages of over 50 words hold such a run; of 1500
 #: simulated ones of 51 words one had none.
 MIN_WORDS = 20
+#: A digest with a share of 1 / OFTEN of the chunks or more is joined by a broadcast; there are OFTEN at most.
+OFTEN = 10_000
+#: Bits of the sieve of digests: eight megabytes.
+SIEVE_OF_CHUNKS = 1 << 26
 _CUT = "__spans_to_cut"
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -55,42 +60,60 @@ def cuts(data: np.ndarray, bits: int = MASK_BITS, least: int = MIN_BYTES, most:
     return out
 
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, at, digest): the chunks of every text.
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _digests(text: bytes, edge: list[int]) -> list[int]:
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(text[lo:hi]) for lo, hi in zip([0, *edge], edge, strict=False)]
+
+
+def repeated_digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(digest): the digests of more than one chunk."""
+    schema = pa.schema([("digest", pa.int64())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches):
+            found = [x for t in byte_column(batch, "text") for x in _digests(t, cuts(np.frombuffer(t, np.uint8)))]
+            yield record_batch(schema, [np.array(found, np.uint64).view(np.int64)])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(kernel, "digest bigint").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+
+
+def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", sieve: Sieve | None = None) -> DataFrame:
+    """(doc_id, row, at, digest): the chunks of every text, those that the sieve lets through if there is one.
 
     at holds a chunk's start and length in code points and its words, 32, 16 and 16 bits (a chunk has MAX_BYTES
     at most): these rows are shuffled, and there are many.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("digest", pa.int64())])
-
-    digest = xxhash.xxh3_64_intdigest
+    held = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                yield part(batch.slice(at, 1000))
-
-    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, places, digests = [], [], []
-        for text in byte_column(batch, "text"):
-            data = np.frombuffer(text, np.uint8)
-            edge = cuts(data)
-            counts.append(len(edge))
-            if not edge:
-                continue
-            bounds = np.array([0, *edge])
-            points = code_points(data)[bounds]
-            begins = SPACE[data] == 0
-            begins[1:] &= SPACE[data[:-1]] == 1
-            words = np.diff(np.concatenate(([0], np.cumsum(begins)))[bounds])
-            places.append(points[:-1] << 32 | np.diff(points) << 16 | words)
-            lo = 0
-            for hi in edge:
-                digests.append(digest(text[lo:hi]))
-                lo = hi
-        take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-        whole = np.concatenate(places) if places else np.zeros(0, np.int64)
-        return record_batch(schema, [batch.column("doc_id").take(take), batch.column("row").take(take), whole, np.array(digests, np.uint64).view(np.int64)])
+        for batch in _batches(batches):
+            counts, places, digests = [], [], []
+            for text in byte_column(batch, "text"):
+                data = np.frombuffer(text, np.uint8)
+                edge = cuts(data)
+                found = np.array(_digests(text, edge), np.uint64)
+                good = held.value.holds(found) if held.value else np.ones(len(found), bool)
+                counts.append(int(good.sum()))
+                if not counts[-1]:
+                    continue
+                bounds = np.array([0, *edge])
+                points = code_points(data)[bounds]
+                begins = SPACE[data] == 0
+                begins[1:] &= SPACE[data[:-1]] == 1
+                words = np.diff(np.concatenate(([0], np.cumsum(begins)))[bounds])
+                places.append((points[:-1] << 32 | np.diff(points) << 16 | words)[good])
+                digests.append(found[good])
+            take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            whole = np.concatenate(places) if places else np.zeros(0, np.int64)
+            digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
+            yield record_batch(schema, [batch.column("doc_id").take(take), batch.column("row").take(take), whole, digest.view(np.int64)])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(kernel, "doc_id bigint, row bigint, at bigint, digest bigint")
@@ -102,10 +125,18 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     Neighbouring chunks are in one run if both stay or both are later copies. copies is the largest number
     of occurrences of a chunk of the run; kept tells whether this run is the copy that stays.
     """
-    chunks = chunk_table(docs, key, text)
+    # a sieve of the digests that repeat spares writing most of the others
+    sieve = Sieve.of(repeated_digests(docs, text), "digest", SIEVE_OF_CHUNKS)
+    # written once: the rows' numbers are the same wherever they are read
+    chunks = stored(chunk_table(docs, key, text, sieve), "chunks")
     # counted before the shuffle, so a chunk that a third of all documents share is a row for each task
     shared = chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("copies > 1")
-    found = chunks.join(shared, "digest").select("doc_id", "row", "at", "copies", (F.col("first") == F.struct("doc_id", "row", "at")).alias("kept")).repartition("row")
+    shared = stored(shared, "shared")
+    often = F.col("copies") * OFTEN >= chunks.count()
+    tagged = chunks.join(F.broadcast(shared.where(often)), "digest", "left")  # OFTEN digests at most
+    rest = tagged.where("copies IS NULL").select("digest", "doc_id", "row", "at").join(shared.where(~often), "digest")
+    found = tagged.where("copies IS NOT NULL").unionByName(rest)
+    found = found.select("doc_id", "row", "at", "copies", (F.col("first") == F.struct("doc_id", "row", "at")).alias("kept")).repartition("row")
     start = F.shiftright("at", 32)
     end = start + F.shiftright("at", 16).bitwiseAND(0xFFFF)
     found = found.select("doc_id", "row", start.cast("int").alias("start"), end.cast("int").alias("end"), F.col("at").bitwiseAND(0xFFFF).alias("words"), "copies", "kept")

@@ -63,6 +63,46 @@ def test_runs_equal_brute_force(spark):
     assert cut[201] == "" and cut[200] == dict(rows)[200] and all(cut[d] == t for d, t in rows if d < 100)
 
 
+def test_spans_copies_and_kept_equal_brute_force(spark):
+    rows = [*docs(), (200, dict(docs())[200]), (300, None), (301, "é " * 300)]
+    places = {}
+    for i, (d, t) in enumerate(rows):
+        data, lo = (t or "").encode(), 0
+        for hi in brute_cuts(data):
+            # a cut may fall inside a character: its code point counts to the chunk where it begins
+            start = sum(b & 0xC0 != 0x80 for b in data[:lo])
+            places.setdefault(data[lo:hi], []).append((d, i, start, sum(b & 0xC0 != 0x80 for b in data[:hi])))
+            lo = hi
+    marks = {}
+    for found in places.values():
+        if len(found) > 1:
+            for x in found:
+                marks.setdefault(x[:2], []).append((x[2], x[3], len(found), x == min(found)))
+    want = []
+    for (d, _), spans in marks.items():
+        runs = []
+        for a, b, n, kept in sorted(spans):
+            if runs and runs[-1][1] == a and runs[-1][3] == kept:
+                runs[-1] = (runs[-1][0], b, max(n, runs[-1][2]), kept, runs[-1][4] + 1)
+            else:
+                runs.append((a, b, n, kept, 1))
+        want += [(d, *x) for x in runs]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = [(r.doc_id, r.start, r.end, r.copies, r.kept, r.n_chunks) for r in C.repeated_runs(frame, min_words=0).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 10
+
+
+def test_frequent_digests_and_a_full_sieve_change_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame(docs(), "doc_id bigint, text string").coalesce(1)
+    shape = lambda: sorted(tuple(r) for r in C.repeated_runs(frame).collect())
+    want = shape()
+    monkeypatch.setattr(C, "OFTEN", 0)
+    monkeypatch.setattr(C, "SIEVE_OF_CHUNKS", 64)
+    assert shape() == want
+    monkeypatch.setattr(C, "OFTEN", 10**9)
+    assert shape() == want
+
+
 def test_passages_just_over_fifty_words_are_found(spark):
     rng = random.Random(12)
     rows = []
