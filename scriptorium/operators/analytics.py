@@ -6,25 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import terms
+from .index import gram_rows, spread
 
 MAX_SPECIFICITY = 0.80
 
 
 def cube(papers: DataFrame, communities: DataFrame, least: int | None = None, max_n: int = 2) -> DataFrame:
-    """(term, year, community, docs, level): one pass of grouping sets, level 'year', 'community' or 'total'.
+    """(term, year, community, docs, level): grouping sets over counts by term, year and community, level 'year', 'community' or 'total'.
 
     Documents without a community (-1) count to the year and the total. Terms in fewer than the least
     number of documents, max(5, N / 500) by default, are left out.
     """
-    rows = papers.select("pos", "year", F.explode(F.array_distinct(terms("abstract", max_n))).alias("term")).join(communities, "pos")
-    grouped = rows.groupingSets([["term", "year"], ["term", "community"], ["term"]], "term", "year", "community").agg(F.count("*").alias("docs"), F.grouping_id().alias("g"))
+    rows = gram_rows(spread(papers.select("pos", "year", "abstract")), ["pos", "year"], "abstract", max_n).select("pos", "year", "term").distinct().join(communities, "pos")
+    # summed once by all three, so that all further sums read few rows
+    cells = rows.groupBy("term", "year", "community").agg(F.count("*").alias("docs"))
+    floor = F.lit(least) if least is not None else F.greatest(F.lit(5), F.floor(F.col("n") / 500))
+    cells = cells.withColumn("total", F.sum("docs").over(Window.partitionBy("term"))).join(F.broadcast(papers.agg(F.count("*").alias("n")))).where(F.col("total") >= floor)
+    grouped = cells.groupingSets([["term", "year"], ["term", "community"], ["term"]], "term", "year", "community").agg(F.sum("docs").alias("docs"), F.grouping_id().alias("g"))
     # bits of grouping_id: term, year, community; 1 if summed over
     level = F.when(F.col("g") == 1, "year").when(F.col("g") == 2, "community").otherwise("total")
-    leveled = grouped.select("term", "year", "community", "docs", level.alias("level")).where((F.col("level") != "community") | (F.col("community") >= 0))
-    floor = F.lit(least) if least is not None else F.greatest(F.lit(5), F.floor(F.col("n") / 500))
-    frequent = leveled.where("level = 'total'").select("term", F.col("docs").alias("total")).join(F.broadcast(papers.agg(F.count("*").alias("n")))).where(F.col("total") >= floor).select("term")
-    return leveled.join(frequent, "term")
+    return grouped.select("term", "year", "community", "docs", level.alias("level")).where((F.col("level") != "community") | (F.col("community") >= 0))
 
 
 def specificity(cells: DataFrame, communities: DataFrame) -> DataFrame:

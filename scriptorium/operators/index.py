@@ -10,22 +10,65 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import char_grams, terms
+from ..functions.text import char_grams, kept, terms, tokens
+from ..session import stored
 
 MAX_N, MIN_DF = 2, 2
 
 
+def spread(rows: DataFrame, key: str = "pos") -> DataFrame:
+    """rows dealt by their key over all cores and shuffle partitions.
+
+    A file of one row group is one task otherwise; and what is then counted by key and term stays where it
+    is, so the text moves once and its terms do not.
+    """
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, key)
+
+
+def gram_rows(rows: DataFrame, keys: list[str], text: str, most: int) -> DataFrame:
+    """(keys, term, n): a row for each n-gram of up to most tokens, as terms() gives them.
+
+    Tokens and those after them are laid side by side and become rows before anything is asked of them, so that
+    all tests of a token are compiled.
+    """
+    every = rows.select(*keys, tokens(F.col(text)).alias("_tokens"))
+    shifted = [F.col("_tokens")] + [F.slice("_tokens", i, F.greatest(F.size("_tokens"), F.lit(1))) for i in range(2, most + 1)]
+    lined = every.select(*keys, F.explode(F.arrays_zip(*[c.alias(f"t{i}") for i, c in enumerate(shifted)])).alias("_t"))
+    lined = lined.select(*keys, *[kept(F.col(f"_t.t{i}")).alias(f"t{i}") for i in range(most)]).where("t0 is not null")
+    grams = [F.struct(F.when(_all(i), F.concat_ws(" ", *[F.col(f"t{j}") for j in range(i + 1)])).alias("term"), F.lit(i + 1).alias("n")) for i in range(most)]
+    if most == 1:
+        return lined.select(*keys, F.col("t0").alias("term"), F.lit(1).alias("n"))
+    return lined.select(*keys, F.explode(F.array(*grams)).alias("_g")).select(*keys, "_g.term", "_g.n").where("term is not null")
+
+
+def _all(last: int) -> Column:
+    out = F.lit(True)
+    for j in range(last + 1):
+        out = out & F.col(f"t{j}").isNotNull()
+    return out
+
+
 def term_rows(papers: DataFrame, tokenizer: Callable[[Column], Column], text: str = "abstract") -> DataFrame:
     """(pos, term): a row for each occurrence."""
-    return papers.select("pos", F.explode(tokenizer(F.col(text))).alias("term"))
+    return spread(papers.select("pos", text)).select("pos", F.explode(tokenizer(F.col(text))).alias("term"))
 
 
-def term_counts(papers: DataFrame, tokenizer: Callable[[Column], Column], text: str = "abstract") -> DataFrame:
-    """(pos, term, tf): summed within each task before the shuffle."""
+def term_counts(papers: DataFrame, tokenizer: Callable[[Column], Column] | int = MAX_N, text: str = "abstract") -> DataFrame:
+    """(pos, term, tf, n) for n-grams of up to so many tokens, (pos, term, tf) for another tokenizer."""
+    if isinstance(tokenizer, int):
+        return gram_rows(spread(papers.select("pos", text)), ["pos"], text, tokenizer).groupBy("pos", "term", "n").agg(F.count("*").alias("tf"))
     return term_rows(papers, tokenizer, text).groupBy("pos", "term").agg(F.count("*").alias("tf"))
 
 
+def term_table(papers: DataFrame, most: int = MAX_N, text: str = "abstract") -> DataFrame:
+    """term_counts() as a written table, from which any of the indexes can be built."""
+    return stored(term_counts(papers, most, text), "terms")
+
+
 @dataclass(frozen=True)
 class Inverted:
     postings: DataFrame  # (term, pos), distinct
@@ -51,35 +94,47 @@ def _lengths(papers: DataFrame, counts: DataFrame) -> DataFrame:
     return papers.select("pos").join(counts.groupBy("pos").agg(F.sum("tf").alias("len")), "pos", "left").select("pos", F.coalesce("len", F.lit(0)).alias("len"))
 
 
-def build_inverted(papers: DataFrame) -> Inverted:
-    counts = term_counts(papers, lambda c: terms(c, 1))
+def _single(papers: DataFrame, counts: DataFrame | None) -> DataFrame:
+    return term_counts(papers, 1) if counts is None else counts.where("n = 1")
+
+
+def build_inverted(papers: DataFrame, counts: DataFrame | None = None) -> Inverted:
+    """counts: a term_table() of papers, if there is one."""
+    counts = _single(papers, counts)
     return Inverted(counts.select("term", "pos"), _lengths(papers, counts))
 
 
-def build_tfidf(papers: DataFrame, tokenizer: Callable[[Column], Column] | None = None, max_n: int = MAX_N, min_df: int = MIN_DF) -> TfIdf:
-    """Sublinear tf times smoothed idf, each document scaled to length 1 over the terms that are kept."""
-    cut = tokenizer or (lambda c: terms(c, max_n))
-    counts = term_counts(papers, cut)
+def build_tfidf(papers: DataFrame, tokenizer: Callable[[Column], Column] | None = None, max_n: int = MAX_N, min_df: int = MIN_DF, counts: DataFrame | None = None) -> TfIdf:
+    """Sublinear tf times smoothed idf, each document scaled to length 1 over the terms that are kept.
+
+    counts: a term_table() of papers with n-grams of max_n at least, if there is one.
+    """
+    if counts is None:
+        counts = term_counts(papers, tokenizer or max_n)
+    elif tokenizer is None:
+        counts = counts.where(F.col("n") <= max_n)
     # one row: the number of documents, empty ones included
     total = papers.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     vocabulary = df.join(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(vocabulary, "term").select("pos", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("pos").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return TfIdf(raw.join(norm, "pos").select("pos", "term", (F.col("raw") / F.col("norm")).alias("w")), vocabulary, cut)
+    raw = counts.select("pos", "term", "tf").join(vocabulary, "term").select("pos", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("pos")))
+    return TfIdf(raw.select("pos", "term", (F.col("raw") / norm).alias("w")), vocabulary, tokenizer or (lambda c: terms(c, max_n)))
 
 
 def build_char_tfidf(papers: DataFrame, n: int = 4, min_df: int = 3) -> TfIdf:
     return build_tfidf(papers, lambda c: char_grams(c, n), min_df=min_df)
 
 
-def build_bm25(papers: DataFrame) -> Bm25:
-    counts = term_counts(papers, lambda c: terms(c, 1))
-    lengths = _lengths(papers, counts)
-    average = lengths.agg(F.avg("len").alias("avgdl"), F.count("*").alias("n"))
+def build_bm25(papers: DataFrame, counts: DataFrame | None = None) -> Bm25:
+    """counts: a term_table() of papers, if there is one."""
+    counts = _single(papers, counts)
+    total = papers.agg(F.count("*").alias("n"))
+    # one row each
+    average = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).join(total).select(F.try_divide("all", "n").alias("avgdl"), "n")
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return Bm25(counts.select("term", "pos", "tf"), df.join(F.broadcast(average.select("n"))).select("term", "df", idf.alias("idf")), lengths, average)
+    return Bm25(counts.select("term", "pos", "tf"), df.join(F.broadcast(total)).select("term", "df", idf.alias("idf")), _lengths(papers, counts), average)
 
 
 def query_vector(index: TfIdf, queries: DataFrame, text: str = "text") -> DataFrame:

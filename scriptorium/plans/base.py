@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import APOSTROPHES, BLANKS, BREAKS, DROPPED, MARKUP, SEPARATORS, words
+from ..operators.index import term_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), title.alias("title"), "abstract", "lang", "source", F.array("source", "lang").alias("categories"), F.make_date("year", F.lit(1), F.lit(1)).alias("published"), "year")
 
 
+def counted(spark: SparkSession, sf_dir: str, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The papers, and the table of their terms."""
+    corpus = papers(spark, sf_dir)
+    return corpus, term_table(corpus, most)
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -8,7 +8,7 @@ from ..operators import graph as G
 from ..operators import index as I
 from ..operators import records as R
 from ..operators import views as V
-from .base import DENSE_EDGES, LANGS, PAPERS, label_communities, lang_communities, papers, shaped, slug_sql, table, terms_sql, text_edges_sql, tfidf_sql, vectors
+from .base import DENSE_EDGES, LANGS, PAPERS, counted, label_communities, lang_communities, papers, shaped, slug_sql, table, terms_sql, text_edges_sql, tfidf_sql, vectors
 
 QUERIES, SQL = {}, {}
 _ARC = ("src:bigint", "dst:bigint", "w:double")
@@ -21,22 +21,27 @@ def _dense(spark, d):
     return G.dense_arcs(vectors(spark, d))
 
 
+def _tfidf(spark, d):
+    corpus, counts = counted(spark, d)
+    return I.build_tfidf(corpus, counts=counts)
+
+
 def knn_arcs_text(spark, d):
-    return shaped(G.exact_arcs(I.build_tfidf(papers(spark, d))), *_ARC)
+    return shaped(G.exact_arcs(_tfidf(spark, d)), *_ARC)
 
 
 SQL["knn_arcs_text"] = f"{_TEXT} SELECT src, dst, w FROM arcs"
 
 
 def mutual_edges_text(spark, d):
-    return shaped(G.mutual_edges(G.exact_arcs(I.build_tfidf(papers(spark, d)))), *_EDGE)
+    return shaped(G.mutual_edges(G.exact_arcs(_tfidf(spark, d))), *_EDGE)
 
 
 SQL["mutual_edges_text"] = f"{_TEXT} SELECT a, b, w FROM edges"
 
 
 def knn_pruned(spark, d):
-    return shaped(G.pruned_arcs(I.build_tfidf(papers(spark, d))), *_ARC)
+    return shaped(G.pruned_arcs(_tfidf(spark, d)), *_ARC)
 
 
 _PRUNED = """heavy AS (SELECT pos, term FROM (SELECT pos, term, row_number() OVER (PARTITION BY pos ORDER BY round(w, 9) DESC, term) AS r FROM tfidf) WHERE r <= 24),
@@ -48,7 +53,7 @@ SQL["knn_pruned"] = f"{_TEXT.split(', sim AS')[0]}, {_PRUNED} SELECT src, dst, w
 
 
 def edge_recall(spark, d):
-    index = I.build_tfidf(papers(spark, d))
+    index = _tfidf(spark, d)
     return shaped(G.edge_recall(G.mutual_edges(G.exact_arcs(index)), G.mutual_edges(G.pruned_arcs(index))), "exact:bigint", "pruned:bigint", "shared:bigint", "recall:double")
 
 
@@ -138,7 +143,7 @@ SELECT pos, round(rank, 6) AS rank FROM pr WHERE i = 20"""
 
 
 def centroid_top_terms(spark, d):
-    return shaped(G.top_terms(G.centroids(I.build_tfidf(papers(spark, d)), lang_communities(spark, d))), "community:bigint", "rank:bigint", "term:string", "w:double")
+    return shaped(G.top_terms(G.centroids(_tfidf(spark, d), lang_communities(spark, d))), "community:bigint", "rank:bigint", "term:string", "w:double")
 
 
 _LANG = "[" + ", ".join(f"'{x}'" for x in LANGS) + "]"
@@ -151,14 +156,14 @@ SQL["centroid_top_terms"] = f"{_CENTROID} SELECT community::BIGINT AS community,
 
 def community_labels(spark, d):
     communities = lang_communities(spark, d)
-    return shaped(G.community_labels(G.centroids(I.build_tfidf(papers(spark, d)), communities), communities), "community:bigint", "size:bigint", "label:string")
+    return shaped(G.community_labels(G.centroids(_tfidf(spark, d), communities), communities), "community:bigint", "size:bigint", "label:string")
 
 
 SQL["community_labels"] = f"{_CENTROID} SELECT community::BIGINT AS community, size, label FROM sz JOIN (SELECT community, string_agg(term, ' ' ORDER BY rank) AS label FROM top WHERE rank <= 3 GROUP BY 1) USING (community)"
 
 
 def display_labels(spark, d):
-    top = G.top_terms(G.centroids(I.build_tfidf(papers(spark, d)), lang_communities(spark, d)))
+    top = G.top_terms(G.centroids(_tfidf(spark, d), lang_communities(spark, d)))
     terms = top.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
     return shaped(terms.select("community", V.display_label(F.col("terms")).alias("label")), "community:bigint", "label:string")
 
@@ -169,7 +174,7 @@ FROM (SELECT community, t, list_filter(t[2:], lambda x: NOT list_has_any(string_
 
 
 def centroid_cosine(spark, d):
-    return shaped(G.centroid_cosine(G.centroids(I.build_tfidf(papers(spark, d)), lang_communities(spark, d))), "a:bigint", "b:bigint", "cosine:double")
+    return shaped(G.centroid_cosine(G.centroids(_tfidf(spark, d), lang_communities(spark, d))), "a:bigint", "b:bigint", "cosine:double")
 
 
 _COSINE = "unit AS (SELECT community, term, w / sqrt(sum(w * w) OVER (PARTITION BY community)) AS w FROM cen), cosine AS (SELECT x.community AS a, y.community AS b, sum(x.w * y.w) AS cosine FROM unit x JOIN unit y USING (term) WHERE x.community < y.community GROUP BY ALL)"

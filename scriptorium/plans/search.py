@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normalize import wants_overview
-from ..functions.text import terms
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import search as S
 from ..operators.context import retrieval_queries
-from .base import BM25, PAPERS, benchmark, fuse_sql, papers, query_sql, shaped, squash_sql, table, terms_sql, text_edges_sql, tfidf_sql, top_sql, vectors
+from .base import BM25, PAPERS, benchmark, counted, fuse_sql, papers, query_sql, shaped, squash_sql, table, terms_sql, text_edges_sql, tfidf_sql, top_sql, vectors
 
 QUERIES, SQL = {}, {}
 _RANKED = ("q:bigint", "rank:bigint", "pos:bigint", "score:double")
@@ -20,14 +19,19 @@ _BENCH = "bench AS (SELECT item_id AS q, coalesce(text, '') AS text FROM benchma
 
 def engine(spark, d, graph: bool = False) -> S.Engine:
     """All lexical indexes of the documents; with the graph if asked."""
-    corpus = papers(spark, d)
-    tfidf = I.build_tfidf(corpus)
+    corpus, counts = counted(spark, d)
+    tfidf = I.build_tfidf(corpus, counts=counts)
     edges = G.mutual_edges(G.exact_arcs(tfidf)) if graph else None
-    return S.Engine(I.build_inverted(corpus), tfidf, I.build_bm25(corpus), None, edges)
+    return S.Engine(I.build_inverted(corpus, counts), tfidf, I.build_bm25(corpus, counts), None, edges)
+
+
+def _tfidf(spark, d):
+    corpus, counts = counted(spark, d)
+    return I.build_tfidf(corpus, counts=counts)
 
 
 def inverted_overlap_search(spark, d):
-    return shaped(S.overlap_search(I.build_inverted(papers(spark, d)), benchmark(spark, d), 10), *_RANKED)
+    return shaped(S.overlap_search(I.build_inverted(*counted(spark, d, 1)), benchmark(spark, d), 10), *_RANKED)
 
 
 SQL["inverted_overlap_search"] = f"""WITH {PAPERS}, {terms_sql('uni', 'papers', 'pos', 'abstract', 1)}, {_BENCH}, {terms_sql('qterms', 'bench', 'q', 'text', 1)},
@@ -36,7 +40,7 @@ s AS (SELECT q, pos, hits + 1 / (1 + greatest(len, 1) / 1000) AS s FROM h JOIN l
 
 
 def tfidf_search(spark, d):
-    return shaped(S.tfidf_search(I.build_tfidf(papers(spark, d)), benchmark(spark, d), 10), *_RANKED)
+    return shaped(S.tfidf_search(_tfidf(spark, d), benchmark(spark, d), 10), *_RANKED)
 
 
 SQL["tfidf_search"] = f"""WITH {PAPERS}, {terms_sql('terms', 'papers', 'pos', 'abstract', 2)}, {tfidf_sql()}, {_BENCH}, {terms_sql('qbi', 'bench', 'q', 'text', 2)}, {query_sql('qv', 'tfidf', 'qbi')},
@@ -44,7 +48,7 @@ s AS (SELECT q, pos, sum(qv.w * tfidf.w) AS s FROM qv JOIN tfidf USING (term) GR
 
 
 def bm25_search(spark, d):
-    return shaped(S.bm25_search(I.build_bm25(papers(spark, d)), benchmark(spark, d), 10), *_RANKED)
+    return shaped(S.bm25_search(I.build_bm25(*counted(spark, d, 1)), benchmark(spark, d), 10), *_RANKED)
 
 
 _BM = f"""WITH {PAPERS}, {terms_sql('uni', 'papers', 'pos', 'abstract', 1)}, {_BENCH}, {terms_sql('qterms', 'bench', 'q', 'text', 1)}, {BM25}"""
@@ -93,8 +97,8 @@ SELECT q, rank, pos, score FROM r"""
 
 def ladder(spark, d):
     """Each tier's default method over the documents: the first rank of every query."""
-    corpus, queries = papers(spark, d), benchmark(spark, d)
-    inverted, tfidf = I.build_inverted(corpus), I.build_tfidf(corpus)
+    (corpus, counts), queries = counted(spark, d), benchmark(spark, d)
+    inverted, tfidf = I.build_inverted(corpus, counts), I.build_tfidf(corpus, counts=counts)
     tiers = [S.Engine(inverted), S.Engine(inverted, tfidf)]
     out = None
     for e in tiers:
@@ -109,7 +113,7 @@ SQL["ladder"] = f"SELECT 'T0' AS tier, q, pos, score FROM ({SQL['inverted_overla
 def no_match_guard(spark, d):
     """Conversations whose last turn finds no document by BM25 and doesn't ask for an overview."""
     asked = retrieval_queries(table(spark, d, "conversations")).select(F.col("conv_id").alias("q"), F.coalesce("query", F.lit("")).alias("text"))
-    hits = S.bm25_search(I.build_bm25(papers(spark, d)), asked, 1).select("q")
+    hits = S.bm25_search(I.build_bm25(*counted(spark, d, 1)), asked, 1).select("q")
     return shaped(asked.where(~wants_overview("text")).join(hits, "q", "left_anti"), "q:bigint")
 
 
@@ -127,9 +131,9 @@ def _seeds(corpus):
 
 
 def pooled_qrels(spark, d):
-    corpus = papers(spark, d)
+    corpus, counts = counted(spark, d)
     queries = _seeds(corpus).select(F.col("pos").alias("q"), F.col("title").alias("text"))
-    runs = [S.tfidf_search(I.build_tfidf(corpus), queries, 50), S.bm25_search(I.build_bm25(corpus), queries, 50)]
+    runs = [S.tfidf_search(I.build_tfidf(corpus, counts=counts), queries, 50), S.bm25_search(I.build_bm25(corpus, counts), queries, 50)]
     seeds = queries.select("q", F.col("q").alias("pos"))
     return shaped(E.pooled_judgments(E.pool(runs, 50, seeds), seeds, corpus), "q:bigint", "pos:bigint", "grade:bigint")
 
@@ -145,9 +149,9 @@ SQL["pooled_qrels"] = f"WITH {PAPERS}, {_SEEDED} SELECT q, pos, grade::BIGINT AS
 
 def retrieval_metrics(spark, d):
     """TF-IDF against BM25 on titles of every fiftieth id, judged by a pool of both."""
-    corpus = papers(spark, d)
+    corpus, counts = counted(spark, d)
     queries = _seeds(corpus).select(F.col("pos").alias("q"), F.col("title").alias("text"))
-    runs = {"tfidf": S.tfidf_search(I.build_tfidf(corpus), queries, 50), "bm25": S.bm25_search(I.build_bm25(corpus), queries, 50)}
+    runs = {"tfidf": S.tfidf_search(I.build_tfidf(corpus, counts=counts), queries, 50), "bm25": S.bm25_search(I.build_bm25(corpus, counts), queries, 50)}
     seeds = queries.select("q", F.col("q").alias("pos"))
     qrels = E.pooled_judgments(E.pool(list(runs.values()), 50, seeds), seeds, corpus)
     out = None
@@ -169,10 +173,10 @@ SQL["retrieval_metrics"] = f"{_METRICS} SELECT system, q, round(precision, 6) AS
 
 def known_item(spark, d):
     """Titles of every fiftieth id as queries for their own papers, by BM25."""
-    corpus = papers(spark, d)
+    corpus, counts = counted(spark, d, 1)
     queries = _seeds(corpus).select(F.col("pos").alias("q"), F.col("title").alias("text"))
     qrels = queries.select("q", F.col("q").alias("pos"), F.lit(1).alias("grade"))
-    return shaped(E.metrics(S.bm25_search(I.build_bm25(corpus), queries, 20), qrels, queries, 10), "q:bigint", "precision:double", "recall:double", "reciprocal_rank:double", "ndcg:double")
+    return shaped(E.metrics(S.bm25_search(I.build_bm25(corpus, counts), queries, 20), qrels, queries, 10), "q:bigint", "precision:double", "recall:double", "reciprocal_rank:double", "ndcg:double")
 
 
 SQL["known_item"] = f"""WITH {PAPERS}, {terms_sql("uni", "papers", "pos", "abstract", 1)}, bench AS (SELECT pos AS q, title AS text FROM papers WHERE pos % 50 = 0), {terms_sql("qterms", "bench", "q", "text", 1)}, {BM25}, {top_sql("r", "bm_s", 20)}
@@ -205,7 +209,7 @@ SELECT q, n AS rank, pos FROM g WHERE n <= 5"""
 
 def loglog_slope(spark, d):
     """How the vocabulary of a document grows with its length."""
-    counts = I.term_counts(papers(spark, d), lambda c: terms(c, 1))
+    counts = I.term_counts(papers(spark, d), 1)
     return shaped(E.loglog_slope(counts.groupBy("pos").agg(F.sum("tf").alias("x"), F.count("*").alias("y"))), "slope:double")
 
 

@@ -9,14 +9,14 @@ from ..functions import normalize as N
 from ..functions import text as T
 from ..operators import index as I
 from ..operators import records as R
-from .base import PAPERS, WS, benchmark, papers, shaped, slug_sql, squash_sql, table, terms_sql, tfidf_sql, words_sql
+from .base import PAPERS, WS, benchmark, counted, papers, shaped, slug_sql, squash_sql, table, terms_sql, tfidf_sql, words_sql
 
 QUERIES, SQL = {}, {}
 
 
 def tokens_df(n):
     def run(spark, d):
-        counts = I.term_counts(papers(spark, d), lambda c: T.terms(c, n))
+        counts = I.term_counts(papers(spark, d), n)
         return shaped(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term:string", "df:bigint", "tf:bigint")
 
     sql = f"WITH {PAPERS}, {terms_sql('terms', 'papers', 'pos', 'abstract', n)} SELECT term, count(DISTINCT pos)::BIGINT AS df, count(*)::BIGINT AS tf FROM terms GROUP BY term"
@@ -129,7 +129,8 @@ SQL["tfidf_vocab"] = f"{_TFIDF} SELECT term, df::BIGINT AS df, round(idf, 6) AS
 
 
 def tfidf_norms(spark, d):
-    return shaped(I.build_tfidf(papers(spark, d)).weights.groupBy("pos").agg(F.count("*").alias("terms"), F.sum(F.col("w") * F.col("w")).alias("norm"), F.max("w").alias("heaviest")), "pos:bigint", "terms:bigint", "norm:double", "heaviest:double")
+    corpus, counts = counted(spark, d)
+    return shaped(I.build_tfidf(corpus, counts=counts).weights.groupBy("pos").agg(F.count("*").alias("terms"), F.sum(F.col("w") * F.col("w")).alias("norm"), F.max("w").alias("heaviest")), "pos:bigint", "terms:bigint", "norm:double", "heaviest:double")
 
 
 SQL["tfidf_norms"] = f"{_TFIDF} SELECT pos, count(*)::BIGINT AS terms, round(sum(w * w), 6) AS norm, round(max(w), 6) AS heaviest FROM tfidf GROUP BY pos"
@@ -144,7 +145,7 @@ SELECT term, df, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 6) A
 
 
 def inverted_lengths(spark, d):
-    index = I.build_inverted(papers(spark, d))
+    index = I.build_inverted(*counted(spark, d, 1))
     distinct = index.postings.groupBy("pos").agg(F.count("*").alias("distinct_terms"))
     return shaped(index.lengths.join(distinct, "pos", "left").na.fill(0), "pos:bigint", "len:bigint", "distinct_terms:bigint")
 

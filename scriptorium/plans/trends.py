@@ -11,8 +11,9 @@ from ..operators import context as C
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import search as S
+from ..session import stored
 from ..streaming import events as X
-from .base import LANGS, PAPERS, benchmark, fuse_sql, lang_communities, papers, shaped, table, terms_sql, text_edges_sql, words_sql
+from .base import LANGS, PAPERS, benchmark, counted, fuse_sql, lang_communities, papers, shaped, table, terms_sql, text_edges_sql, words_sql
 
 QUERIES, SQL = {}, {}
 _LANG = "[" + ", ".join(f"'{x}'" for x in LANGS) + "]"
@@ -27,8 +28,8 @@ def term_cube(spark, d):
 
 
 _CUBE = f"""WITH {PAPERS}, {terms_sql('terms', 'papers', 'pos', 'abstract', 2)},
-dt AS (SELECT DISTINCT pos, term FROM terms), cd AS (SELECT term, year, list_position({_LANG}, lang) - 1 AS community FROM dt JOIN papers USING (pos)),
-fr AS (SELECT term, count(*) AS total FROM cd GROUP BY term HAVING count(*) >= greatest(5, (SELECT count(*) FROM papers) // 500)),
+dt AS MATERIALIZED (SELECT DISTINCT pos, term FROM terms), cd AS MATERIALIZED (SELECT term, year, list_position({_LANG}, lang) - 1 AS community FROM dt JOIN papers USING (pos)),
+fr AS MATERIALIZED (SELECT term, count(*) AS total FROM cd GROUP BY term HAVING count(*) >= greatest(5, (SELECT count(*) FROM papers) // 500)),
 ty AS (SELECT term, year, count(*) AS docs FROM cd SEMI JOIN fr USING (term) GROUP BY ALL), tc AS (SELECT term, community, count(*) AS docs FROM cd SEMI JOIN fr USING (term) WHERE community >= 0 GROUP BY ALL),
 dy AS (SELECT year, count(*) AS docs FROM papers GROUP BY year),
 nc AS (SELECT count(DISTINCT lang) AS c FROM papers WHERE list_contains({_LANG}, lang)),
@@ -38,14 +39,14 @@ SQL["term_cube"] = f"""{_CUBE} SELECT term, year::BIGINT AS year, NULL::BIGINT A
 
 
 def specificity(spark, d):
-    return shaped(A.specificity(_cells(spark, d), lang_communities(spark, d)), "term:string", "specificity:double")
+    return shaped(A.specificity(stored(_cells(spark, d), "cells"), lang_communities(spark, d)), "term:string", "specificity:double")
 
 
 SQL["specificity"] = f"{_CUBE} SELECT term, round(specificity, 6) AS specificity FROM spec"
 
 
 def _by_year(spark, d):
-    cells = _cells(spark, d)
+    cells = stored(_cells(spark, d), "cells")
     return cells, cells.where("level = 'year'").select("term", "year", "docs"), papers(spark, d).groupBy("year").agg(F.count("*").alias("docs"))
 
 
@@ -121,12 +122,12 @@ SELECT term, e AS early, l AS late, round(((l + 0.5::DOUBLE) / dl) / ((e + 0.5::
 
 
 def _contexts(spark, d, hops):
-    corpus = papers(spark, d)
-    tfidf = I.build_tfidf(corpus)
-    engine = S.Engine(I.build_inverted(corpus), tfidf, I.build_bm25(corpus))
+    corpus, counts = counted(spark, d)
+    tfidf = I.build_tfidf(corpus, counts=counts)
+    engine = S.Engine(I.build_inverted(corpus, counts), tfidf, I.build_bm25(corpus, counts))
     seeds = engine.search("hybrid", benchmark(spark, d), 50)
     edges = G.mutual_edges(G.exact_arcs(tfidf)) if hops else None
-    words = corpus.select("pos", T.word_count("abstract").alias("words"))
+    words = I.spread(corpus.select("pos", "abstract")).select("pos", T.word_count("abstract").alias("words"))
     return C.assemble(C.hop_scores(seeds, edges, hops), words), words
 
 

@@ -109,3 +109,19 @@ def test_lists(spark):
     assert one(spark, "a, b", N.parse_keywords) == []
     made = spark.sql("select map('b', array(1), 'a', array(0, 2)) m").select(N.rebuilt_abstract("m")).first()[0]
     assert made == "a b a"
+
+
+def test_gram_rows_equal_terms(spark):
+    """Tokens found in one pass and those of the split text, over texts of the signs that matter."""
+    import random
+
+    from scriptorium.operators.index import gram_rows
+
+    rng = random.Random(2)
+    parts = ["foo", "Bar", "the", "a", "12", "x1", "é", "ÉÀ", "don't", "it’s", "-", "--", "a-b", "b--c", "-d", "e-", "_", "f_g", "\\alpha", "\\", "$", ".", ",", "—", "–", "“q”", "(", "[z]", "|", "/", "\n", "\r", "\t", " ", "́", "İ", "ΑΣ", "🦊", "²", "٣", "co-op's"]
+    texts = [None, "", " "] + ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "pos int, x string")
+    for n in (1, 2, 3):
+        want = sorted((r.pos, t) for r in rows.select("pos", T.terms("x", n).alias("y")).collect() for t in r.y)
+        got = sorted((r.pos, r.term) for r in gram_rows(rows, ["pos"], "x", n).collect())
+        assert got == want
