@@ -85,16 +85,20 @@ TOKEN = r"[\p{L}\p{Nd}]++(?:-++[\p{L}\p{Nd}]++)*+"
 def tokens(text: Column | str) -> Column:
     """The tokens of a text in order, in their own case, with a sign of one byte where a clause ends.
 
-    One pass of a regular expression; kept() then tells for each whether it counts.
+    One pass of a regular expression; counts() then tells for each whether it does.
     """
     plain = F.translate(without_markup(F.coalesce(_col(text), F.lit(""))), "_“”—–'’", "-....")
     return F.regexp_extract_all(plain, F.lit(f"{TOKEN}|{BREAKS}"), F.lit(0))
 
 
+def counts(low: Column) -> Column:
+    """Whether a lower-cased token counts; those that don't, and ends of clauses, break a run."""
+    return (F.octet_length(low) >= 2) & ~low.isin(DROPPED) & ((F.substring(low, 1, 1) > "9") | ~low.rlike("^[0-9]+$"))
+
+
 def kept(token: Column) -> Column:
-    """The lower-cased token, null if it is dropped or ends a clause and so breaks a run."""
-    low = F.lower(token)
-    return F.when((F.octet_length(low) >= 2) & ~low.isin(DROPPED) & ~low.rlike("^[0-9]+$"), low)
+    """The lower-cased token, null if it doesn't count."""
+    return F.when(counts(F.lower(token)), F.lower(token))
 
 
 def terms(text: Column | str, n: int = 2) -> Column:

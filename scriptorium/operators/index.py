@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import char_grams, kept, terms, tokens
+from ..functions.text import char_grams, counts, kept, terms, tokens
 from ..session import stored
 
 MAX_N, MIN_DF = 2, 2
@@ -38,10 +38,11 @@ def gram_rows(rows: DataFrame, keys: list[str], text: str, most: int) -> DataFra
     every = rows.select(*keys, tokens(F.col(text)).alias("_tokens"))
     shifted = [F.col("_tokens")] + [F.slice("_tokens", i, F.greatest(F.size("_tokens"), F.lit(1))) for i in range(2, most + 1)]
     lined = every.select(*keys, F.explode(F.arrays_zip(*[c.alias(f"t{i}") for i, c in enumerate(shifted)])).alias("_t"))
-    lined = lined.select(*keys, *[kept(F.col(f"_t.t{i}")).alias(f"t{i}") for i in range(most)]).where("t0 is not null")
-    grams = [F.struct(F.when(_all(i), F.concat_ws(" ", *[F.col(f"t{j}") for j in range(i + 1)])).alias("term"), F.lit(i + 1).alias("n")) for i in range(most)]
+    first = F.lower("_t.t0")
+    lined = lined.where(counts(first)).select(*keys, first.alias("t0"), *[kept(F.col(f"_t.t{i}")).alias(f"t{i}") for i in range(1, most)])
     if most == 1:
         return lined.select(*keys, F.col("t0").alias("term"), F.lit(1).alias("n"))
+    grams = [F.struct(F.when(_all(i), F.concat_ws(" ", *[F.col(f"t{j}") for j in range(i + 1)])).alias("term"), F.lit(i + 1).alias("n")) for i in range(most)]
     return lined.select(*keys, F.explode(F.array(*grams)).alias("_g")).select(*keys, "_g.term", "_g.n").where("term is not null")
 
 
@@ -117,7 +118,7 @@ def build_tfidf(papers: DataFrame, tokenizer: Callable[[Column], Column] | None
     total = papers.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     vocabulary = df.join(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.select("pos", "term", "tf").join(vocabulary, "term").select("pos", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
+    raw = counts.select("pos", "term", "tf").join(vocabulary.hint("shuffle_hash"), "term").select("pos", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("pos")))
     return TfIdf(raw.select("pos", "term", (F.col("raw") / norm).alias("w")), vocabulary, tokenizer or (lambda c: terms(c, max_n)))
 
@@ -137,12 +138,22 @@ def build_bm25(papers: DataFrame, counts: DataFrame | None = None) -> Bm25:
     return Bm25(counts.select("term", "pos", "tf"), df.join(F.broadcast(total)).select("term", "df", idf.alias("idf")), _lengths(papers, counts), average)
 
 
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows of the terms of wanted(term): what is left is sent and sorted, not the whole index."""
+    return rows.join(wanted.select("term").distinct(), "term", "left_semi")
+
+
+def query_counts(index: TfIdf, queries: DataFrame, text: str = "text") -> DataFrame:
+    """(q, term, tf) of queries(q, text)."""
+    return queries.select("q", F.explode(index.tokenizer(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("tf"))
+
+
 def query_vector(index: TfIdf, queries: DataFrame, text: str = "text") -> DataFrame:
     """(q, term, w) of queries(q, text), of length 1 over the terms in the vocabulary."""
-    counts = queries.select("q", F.explode(index.tokenizer(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("tf"))
-    raw = counts.join(index.vocabulary, "term").select("q", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("q").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "q").select("q", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    asked = query_counts(index, queries, text)
+    raw = asked.join(only(index.vocabulary, asked), "term").select("q", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("q")))
+    return raw.select("q", "term", (F.col("raw") / norm).alias("w"))
 
 
 def normalize(vector: Column) -> Column:

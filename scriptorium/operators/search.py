@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import terms
-from .index import Bm25, Inverted, TfIdf, query_vector
+from .index import Bm25, Inverted, TfIdf, only, query_counts, query_vector
 
 K1, B = 1.5, 0.75
 RRF, DEPTH = 60, 100
@@ -35,7 +35,7 @@ def top_k(scored: DataFrame, k: int, positive: bool = True) -> DataFrame:
 def overlap_search(index: Inverted, queries: DataFrame, k: int) -> DataFrame:
     """The number of distinct query tokens in a document, plus less than one for a short document."""
     wanted = queries.select("q", F.explode(F.array_distinct(terms("text", 1))).alias("term"))
-    hits = wanted.join(index.postings, "term").groupBy("q", "pos").agg(F.count("*").alias("hits"))
+    hits = wanted.join(only(index.postings, wanted), "term").groupBy("q", "pos").agg(F.count("*").alias("hits"))
     bonus = 1 / (1 + F.greatest("len", F.lit(1)) / 1000)
     return top_k(hits.join(index.lengths, "pos").select("q", "pos", (F.col("hits") + bonus).alias("score")), k)
 
@@ -43,13 +43,13 @@ def overlap_search(index: Inverted, queries: DataFrame, k: int) -> DataFrame:
 def tfidf_search(index: TfIdf, queries: DataFrame, k: int) -> DataFrame:
     """Cosine of the query's vector and each document's."""
     vector = query_vector(index, queries).select("q", "term", F.col("w").alias("qw"))
-    return top_k(vector.join(index.weights, "term").groupBy("q", "pos").agg(F.sum(F.col("qw") * F.col("w")).alias("score")), k)
+    return top_k(vector.join(only(index.weights, query_counts(index, queries)), "term").groupBy("q", "pos").agg(F.sum(F.col("qw") * F.col("w")).alias("score")), k)
 
 
 def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
     """Okapi BM25; a token counts as often as the query has it."""
     wanted = queries.select("q", F.explode(terms("text", 1)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    found = wanted.join(index.vocabulary, "term").join(index.postings, "term").join(index.lengths, "pos").join(F.broadcast(index.average))
+    found = wanted.join(only(index.vocabulary, wanted), "term").join(only(index.postings, wanted), "term").join(index.lengths, "pos").join(F.broadcast(index.average))
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return top_k(found.groupBy("q", "pos").agg(F.sum(part).alias("score")), k)

@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         _ROOTS[root] = spark
         atexit.register(_drop, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
