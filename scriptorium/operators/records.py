@@ -55,9 +55,10 @@ def dedupe(papers: DataFrame, rounds: int = 50) -> DataFrame:
 def quota_select(papers: DataFrame, keywords: list[str], categories: list[str], first: int, last: int, most: int) -> DataFrame:
     """(keyword, rank, id): a local harvest with equal shares for keywords and, within each, for years.
 
-    Candidates are ranked by year, newest first, and cut to what a share can use before they meet in the
-    ordered fold; the fold sees at most 2 * share rows a keyword and year. What a year leaves unfilled
-    goes to older years, not to other keywords.
+    Candidates are ranked by year, newest first, and each keyword and year is trimmed to 2 * share rows before
+    they meet in the ordered fold. The trim comes before duplicates are settled, so a keyword whose first rows
+    other keywords have taken can fall short of its share. What a year leaves unfilled goes to older years, not
+    to other keywords.
     """
     words = keywords or [""]
     share = math.ceil(most / len(words))

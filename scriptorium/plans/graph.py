@@ -181,23 +181,22 @@ _COSINE = "unit AS (SELECT community, term, w / sqrt(sum(w * w) OVER (PARTITION
 SQL["centroid_cosine"] = f"{_CENTROID}, {_COSINE} SELECT a::BIGINT AS a, b::BIGINT AS b, round(cosine, 6) AS cosine FROM cosine"
 
 
-def _label_gaps(spark, d):
-    communities = label_communities(spark, d)
+def _gaps(spark, d, communities):
     edges = G.mutual_edges(_dense(spark, d))
-    means = table(spark, d, "embeddings").select(F.col("label").alias("community"), F.posexplode("embedding").alias("term", "w")).groupBy("community", "term").agg(F.avg(F.col("w").cast("double")).alias("w"))
-    return communities, edges, G.gaps(communities, edges, G.centroid_cosine(means), 50)
+    means = vectors(spark, d).join(communities, "pos").select("community", F.posexplode("v").alias("term", "w")).groupBy("community", "term").agg(F.avg(F.col("w").cast("double")).alias("w"))
+    return edges, G.gaps(communities, edges, G.centroid_cosine(means))
 
 
 def gap_zscores(spark, d):
-    """Gaps between the labelled communities of the vectors, 50 permutations."""
-    return shaped(_label_gaps(spark, d)[2], "a:bigint", "b:bigint", "observed:bigint", "mean:double", "std:double", "z:double", "similarity:double")
+    """Gaps between the labelled communities of the vectors."""
+    return shaped(_gaps(spark, d, label_communities(spark, d))[1], "a:bigint", "b:bigint", "observed:bigint", "mean:double", "std:double", "z:double", "similarity:double")
 
 
 _GAPS = f"""{_LINKS}, mem AS MATERIALIZED (SELECT pos, community, row_number() OVER (ORDER BY pos) AS i FROM vec WHERE community >= 0),
-ord AS (SELECT p, pos, row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5(pos || ':' || p), 1, 12))::BIGINT, pos) AS i FROM mem, range(50) r(p)),
+ord AS (SELECT p, pos, row_number() OVER (PARTITION BY p ORDER BY ('0x' || substr(md5(pos || ':' || p), 1, 12))::BIGINT, pos) AS i FROM mem, range(200) r(p)),
 shf AS MATERIALIZED (SELECT p, ord.pos, mem.community FROM ord JOIN mem USING (i)),
 nul AS (SELECT x.p, least(x.community, y.community) AS a, greatest(x.community, y.community) AS b, count(*) AS c FROM edges e JOIN shf x ON x.pos = e.a JOIN shf y ON y.pos = e.b AND y.p = x.p WHERE x.community <> y.community GROUP BY ALL),
-mom AS (SELECT a, b, sum(c) / 50 AS mean, sum(c * c) / 50 AS square FROM nul GROUP BY a, b),
+mom AS (SELECT a, b, sum(c) / 200 AS mean, sum(c * c) / 200 AS square FROM nul GROUP BY a, b),
 cn AS (SELECT DISTINCT community FROM mem), pairs AS (SELECT x.community AS a, y.community AS b FROM cn x, cn y WHERE x.community < y.community),
 cen AS (SELECT community, term, avg(v[term]) AS w FROM (SELECT community, v, unnest(range(1, len(v) + 1)) AS term FROM vec) GROUP BY ALL), {_COSINE},
 gap AS (SELECT a, b, coalesce(n, 0) AS observed, coalesce(mean, 0) AS mean, round(sqrt(greatest(coalesce(square, 0) - coalesce(mean, 0) * coalesce(mean, 0), 0)), 9) AS std, coalesce(cosine, 0) AS similarity
@@ -207,11 +206,15 @@ SQL["gap_zscores"] = f"{_DENSE}, {_GAPS} SELECT a::BIGINT AS a, b::BIGINT AS b,
 
 
 def gap_nodes(spark, d):
-    communities, edges, found = _label_gaps(spark, d)
+    """Communities here are the vectors whose largest among the first four components is the same one: neighbours share it."""
+    first = F.slice("v", 1, 4)
+    communities = vectors(spark, d).select("pos", (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("community"))
+    edges, found = _gaps(spark, d, communities)
     return shaped(G.gap_nodes(found, communities, G.bridge_scores(communities, edges), 8, 40), "pos:bigint", "bridge:double")
 
 
-SQL["gap_nodes"] = f"""{_DENSE}, {_GAPS}, {_BRIDGE}, g8 AS (SELECT a, b FROM gz WHERE z < -2 ORDER BY round(similarity, 6) DESC, a, b LIMIT 8)
+_AXIS = "list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS community"
+SQL["gap_nodes"] = f"""{_DENSE.replace('label AS community', _AXIS)}, {_GAPS}, {_BRIDGE}, g8 AS (SELECT a, b FROM gz WHERE z < -2 ORDER BY round(similarity, 6) DESC, a, b LIMIT 8)
 SELECT pos, round(bridge, 6) AS bridge FROM bridge JOIN vec USING (pos) WHERE round(bridge, 6) > 0 AND community IN (SELECT a FROM g8 UNION SELECT b FROM g8) ORDER BY round(bridge, 6) DESC, pos LIMIT 40"""
 
 

@@ -111,8 +111,9 @@ SQL["ladder"] = f"SELECT 'T0' AS tier, q, pos, score FROM ({SQL['inverted_overla
 
 
 def no_match_guard(spark, d):
-    """Conversations whose last turn finds no document by BM25 and doesn't ask for an overview."""
+    """Conversations whose last turn finds no document by BM25 and doesn't ask for an overview; nations' names are asked for too."""
     asked = retrieval_queries(table(spark, d, "conversations")).select(F.col("conv_id").alias("q"), F.coalesce("query", F.lit("")).alias("text"))
+    asked = asked.union(table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("bigint"), "n_name"))
     hits = S.bm25_search(I.build_bm25(*counted(spark, d, 1)), asked, 1).select("q")
     return shaped(asked.where(~wants_overview("text")).join(hits, "q", "left_anti"), "q:bigint")
 
@@ -120,7 +121,7 @@ def no_match_guard(spark, d):
 _LAST = """t AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS answers FROM conversations),
 u AS (SELECT *, lag(text) OVER w AS before, lag(answers) OVER w AS seen, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 asked AS (SELECT conv_id, CASE WHEN before IS NOT NULL AND answers > seen THEN before || chr(10) || text ELSE text END AS query FROM u WHERE r = 1)"""
-SQL["no_match_guard"] = f"""WITH {PAPERS}, {terms_sql('uni', 'papers', 'pos', 'abstract', 1)}, {_LAST}, bench AS (SELECT conv_id AS q, coalesce(query, '') AS text FROM asked),
+SQL["no_match_guard"] = f"""WITH {PAPERS}, {terms_sql('uni', 'papers', 'pos', 'abstract', 1)}, {_LAST}, bench AS (SELECT conv_id AS q, coalesce(query, '') AS text FROM asked UNION ALL SELECT -1 - n_nationkey, n_name FROM nation),
 {terms_sql('qterms', 'bench', 'q', 'text', 1)}, {BM25}
 SELECT q FROM bench WHERE q NOT IN (SELECT q FROM bm_s WHERE round(s, 6) > 0) AND NOT regexp_matches(lower(text), 'gap|trend|emerging|communit|topic|area|overview|summary|corpus|this project')"""
 
@@ -186,12 +187,12 @@ SELECT b.q, CASE WHEN rank <= 10 THEN 0.1::DOUBLE ELSE 0 END AS precision, CASE
 def paired_bootstrap_ci(spark, d):
     """BM25's nDCG against TF-IDF's."""
     rows = retrieval_metrics(spark, d).groupBy(F.col("q").alias("i")).agg(F.max(F.when(F.col("system") == "tfidf", F.col("ndcg"))).alias("a"), F.max(F.when(F.col("system") == "bm25", F.col("ndcg"))).alias("b"))
-    return shaped(E.paired_bootstrap(rows, 1000), "n:bigint", "diff:double", "lo:double", "hi:double", "significant:boolean")
+    return shaped(E.paired_bootstrap(rows), "n:bigint", "diff:double", "lo:double", "hi:double", "significant:boolean")
 
 
 SQL["paired_bootstrap_ci"] = f"""{_METRICS}, d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY q) - 1 AS k, round(max(ndcg) FILTER (system = 'bm25'), 6) - round(max(ndcg) FILTER (system = 'tfidf'), 6) AS d FROM met GROUP BY q),
-n AS (SELECT count(*) AS n, avg(d) AS diff FROM d), m AS (SELECT r, round(avg(d), 9) AS mean FROM (SELECT r, ('0x' || substr(md5(r || ':' || j), 1, 12))::BIGINT % n AS k FROM n, range(1000) a(r), range(n) b(j)) JOIN d USING (k) GROUP BY r),
-s AS (SELECT mean, row_number() OVER (ORDER BY mean, r) - 1 AS i FROM m), b AS (SELECT max(mean) FILTER (i = 25) AS lo, max(mean) FILTER (i = 975) AS hi FROM s)
+n AS (SELECT count(*) AS n, avg(d) AS diff FROM d), m AS (SELECT r, round(avg(d), 9) AS mean FROM (SELECT r, ('0x' || substr(md5(r || ':' || j), 1, 12))::BIGINT % n AS k FROM n, range(5000) a(r), range(n) b(j)) JOIN d USING (k) GROUP BY r),
+s AS (SELECT mean, row_number() OVER (ORDER BY mean, r) - 1 AS i FROM m), b AS (SELECT max(mean) FILTER (i = 125) AS lo, max(mean) FILTER (i = 4875) AS hi FROM s)
 SELECT n, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, (lo > 0) = (hi > 0) AND lo <> 0 AS significant FROM n, b"""
 
 

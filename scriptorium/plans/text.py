@@ -183,9 +183,27 @@ v AS (SELECT source AS category, round(sum(share), 9) AS weight FROM s GROUP BY
 SELECT rank, category, round(weight, 6) AS weight FROM (SELECT row_number() OVER (ORDER BY weight DESC, category) AS rank, category, weight, count(*) OVER () AS n FROM k) WHERE rank <= 8 AND n >= 2"""
 
 
+_QUOTA_WORDS = ["of the", "que", "der"]
+
+
 def quota_select(spark, d):
-    """The fold over years and keywords is sequential; tests hold it against a plain loop."""
-    return shaped(R.quota_select(papers(spark, d), ["of the", "que", "der"], [], 2013, 2026, 300), "keyword:string", "rank:bigint", "id:string")
+    """At most 300 records for three keywords, newest first in equal shares of years."""
+    return shaped(R.quota_select(papers(spark, d), _QUOTA_WORDS, [], 2013, 2026, 300), "keyword:string", "rank:bigint", "id:string")
+
+
+_WORD_ROWS = " UNION ALL ".join(f"SELECT {i} AS k, '{w}' AS keyword, id, slug, year FROM named WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{Nd}}]){w}([^\\p{{L}}\\p{{Nd}}]|$)')" for i, w in enumerate(_QUOTA_WORDS))
+SQL["quota_select"] = f"""WITH RECURSIVE {PAPERS}, named AS MATERIALIZED (SELECT id, year, {slug_sql('title')} AS slug, lower(title || ' ' || abstract) AS text FROM papers),
+hit AS (SELECT *, row_number() OVER (PARTITION BY k, year ORDER BY id DESC) AS r FROM ({_WORD_ROWS})),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k, year DESC, r) AS i FROM hit WHERE r <= 200),
+f(i, k, year, room, quota, kept, total, ids, slugs, ok, keyword, id) AS (
+  SELECT 0::BIGINT, -1, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false, NULL::VARCHAR, NULL::VARCHAR
+  UNION ALL
+  SELECT r.i, r.k, r.year, m.room - n.ok::INT, q.quota - n.ok::INT, m.kept + n.ok::INT, f.total + n.ok::INT, CASE WHEN n.ok THEN list_append(f.ids, r.id) ELSE f.ids END,
+    CASE WHEN n.ok AND r.slug <> '' THEN list_append(f.slugs, r.slug) ELSE f.slugs END, n.ok, r.keyword, r.id
+  FROM f JOIN r ON r.i = f.i + 1, LATERAL (SELECT CASE WHEN r.k = f.k THEN f.room ELSE 100 END AS room, CASE WHEN r.k = f.k THEN f.kept ELSE 0 END AS kept) m,
+    LATERAL (SELECT CASE WHEN r.k = f.k AND r.year = f.year THEN f.quota ELSE ceil(m.room / (r.year - 2012))::BIGINT END AS quota) q,
+    LATERAL (SELECT q.quota > 0 AND f.total < 300 AND NOT list_contains(f.ids, r.id) AND (r.slug = '' OR NOT list_contains(f.slugs, r.slug)) AS ok) n)
+SELECT keyword, kept AS rank, id FROM f WHERE ok"""
 
 
 for _f in (char4_gram_counts, slug_titles, squash_pages, first_words_pages, whole_word_filter, category_filter, retention_filter, identifiers, dedupe_exact, keyword_extract_top6, tfidf_vocab, tfidf_norms, bm25_vocab, inverted_lengths, fingerprint, add_records, category_infer, quota_select):

@@ -230,5 +230,26 @@ def events_daily_window(spark, d):
 
 SQL["events_daily_window"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
 
-for _f in (term_cube, specificity, trend_lift, trend_rising_declining, trajectory, burst_weight, burst_terms, prevalence_orders, context_budget, context_via_graph, pin_doc, sources_block, chat_retrieval_query, chat_history_last6, chat_valid, guard_classify, cron_due, events_daily_window):
+_AT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def events_sliding_window(spark, d):
+    found = X.sliding_counts(table(spark, d, "events")).select(F.date_format("start", _AT).alias("start"), "event_type", "n", "total")
+    return shaped(found, "start:string", "event_type:string", "n:bigint", "total:double")
+
+
+SQL["events_sliding_window"] = """SELECT strftime(make_timestamp((epoch_us(ts) // 21600000000 - k) * 21600000000), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total
+FROM events, range(4) r(k) GROUP BY ALL"""
+
+
+def events_sessions(spark, d):
+    found = X.sessions(table(spark, d, "events")).select("user_id", F.date_format("start", _AT).alias("start"), F.date_format("end", _AT).alias("end"), "n")
+    return shaped(found, "user_id:bigint", "start:string", "end:string", "n:bigint")
+
+
+SQL["events_sessions"] = """WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM s GROUP BY user_id, s"""
+
+for _f in (events_sliding_window, events_sessions, term_cube, specificity, trend_lift, trend_rising_declining, trajectory, burst_weight, burst_terms, prevalence_orders, context_budget, context_via_graph, pin_doc, sources_block, chat_retrieval_query, chat_history_last6, chat_valid, guard_classify, cron_due, events_daily_window):
     QUERIES[_f.__name__] = _f

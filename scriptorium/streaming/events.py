@@ -23,6 +23,20 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return counted.select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, length: str = "1 day", step: str = "6 hours", delay: str = "1 day") -> DataFrame:
+    """(start, event_type, n, total) per window, a window every step; late rows are dropped on a stream."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    counted = rows.groupBy(F.window("ts", length, step).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
+    """(user_id, start, end, n): a user's rows no further apart than the gap; end is the last row's time plus the gap."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    counted = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def distinct_records(records: DataFrame, key: str = "id", time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Each key once; on a stream with a time, keys are remembered until the watermark passes them."""
     if records.isStreaming and time:

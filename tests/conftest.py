@@ -7,10 +7,6 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
-def pytest_addoption(parser):
-    parser.addoption("--all-queries", action="store_true", help="hold every query with SQL against DuckDB, not only some")
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
