@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,14 @@ _ROOTS: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; if unset, a temporary one on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not found and context.getCheckpointDir().isDefined():
         found = context.getCheckpointDir().get()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -57,6 +60,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with a share of 1 / OFTEN of the rows or more is joined by a broadcast; there are OFTEN such keys at most.
+OFTEN = 10_000
+
+
+def joined_by_share(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, often: int | None = None) -> DataFrame:
+    """rows and keyed joined on key; keyed has a row for each key, and in weight how many of the total rows have it.
+
+    No key of the shuffled join has a larger share of the rows than 1 / OFTEN. rows and keyed are read twice.
+    """
+    many = F.col(weight) * (OFTEN if often is None else often) >= total
+    tagged = rows.join(F.broadcast(keyed.where(many)), key, "left")
+    rest = tagged.where(F.col(weight).isNull()).select(rows.columns).join(keyed.where(~many), key)
+    return tagged.where(F.col(weight).isNotNull()).unionByName(rest)
+
+
 def fold(key: Column | str, parts: int) -> Column:
     """crc32 of a key written as text, modulo parts; null for a null key."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % parts

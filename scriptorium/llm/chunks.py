@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE, Sieve, byte_column, code_points, mix, record_batch, stored, table
+from ._common import SPACE, Sieve, byte_column, code_points, joined_by_share, mix, record_batch, stored, table
 
 #: A cut follows a byte at which the top MASK_BITS bits of the hash are zero: one in 2 ** MASK_BITS bytes.
 MASK_BITS = 4
@@ -31,8 +31,6 @@ MIN_BYTES, MAX_BYTES = 8, 1024
 #: reach beyond it, some 14 words together, so that passages of over 50 words hold such a run; of 1500
 #: simulated ones of 51 words one had none.
 MIN_WORDS = 20
-#: A digest with a share of 1 / OFTEN of the chunks or more is joined by a broadcast; there are OFTEN at most.
-OFTEN = 10_000
 #: Bits of the sieve of digests: eight megabytes.
 SIEVE_OF_CHUNKS = 1 << 26
 _CUT = "__spans_to_cut"
@@ -132,10 +130,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     # counted before the shuffle, so a chunk that a third of all documents share is a row for each task
     shared = chunks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("copies > 1")
     shared = stored(shared, "shared")
-    often = F.col("copies") * OFTEN >= chunks.count()
-    tagged = chunks.join(F.broadcast(shared.where(often)), "digest", "left")  # OFTEN digests at most
-    rest = tagged.where("copies IS NULL").select("digest", "doc_id", "row", "at").join(shared.where(~often), "digest")
-    found = tagged.where("copies IS NOT NULL").unionByName(rest)
+    found = joined_by_share(chunks, shared, "digest", "copies", chunks.count())
     found = found.select("doc_id", "row", "at", "copies", (F.col("first") == F.struct("doc_id", "row", "at")).alias("kept")).repartition("row")
     start = F.shiftright("at", 32)
     end = start + F.shiftright("at", 16).bitwiseAND(0xFFFF)

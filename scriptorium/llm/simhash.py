@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import byte_column, record_batch, stored, table
+from ._common import byte_column, joined_by_share, record_batch, stored, table
 from .graph import components
 
 SEED = 42
@@ -166,14 +167,20 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP, blocks
     return found.where("b is not null").union(stars)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+def _classes(docs: DataFrame, key: str, text: str, words: int, distance: int, group: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of docs; root is a fingerprint that stands for the component."""
     marked = stored(fingerprints(docs, key, text, words), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     roots = components(links(nodes.select("fp"), distance, group))
-    classes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "rows"), "classes")
+    least = stored(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "roots")
+    named = joined_by_share(classes, least, "root", "members", classes.count()).select("fp", "root", "component_id", "rows")
+    return joined_by_share(marked, stored(named, "named"), "fp", "rows", marked.count()).select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs."""
+    return _classes(docs, key, text, words, distance, group).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +189,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: of each group of near duplicates the document with the least doc_id stays.
+    """A pipeline stage: of each group of near duplicates one row with the least doc_id stays.
 
-    Repeated rows with that doc_id count as one document; rows with a null doc_id stay.
+    Of rows with one doc_id that are no near duplicates of each other each stays; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unnamed)
+    found = _classes(docs, "doc_id", "text", WORDS, DISTANCE, GROUP).where("doc_id = component_id")
+    kept = stored(found.groupBy("doc_id", "root").agg(F.min("fp").alias("fp")), "kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "fp")
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = named.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").join(repeated, "doc_id", "left_anti").select(docs.columns)
+    # numbered names can't clash; of equal rows of one doc_id and fingerprint any stays
+    plain = named.join(repeated, "doc_id", "left_semi").select(docs.columns).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (f"c{docs.columns.index(x)}" for x in ("doc_id", "text"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(x) for x in byte_column(batch, text)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    marked = plain.mapInArrow(kernel, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())]))
+    chosen = marked.join(kept.withColumnRenamed("doc_id", key), [key, "fp"], "left_semi").dropDuplicates([key, "fp"])
+    return once.unionByName(chosen.select(plain.columns).toDF(*docs.columns)).unionByName(unnamed)

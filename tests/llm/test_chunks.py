@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from scriptorium.llm import _common
 from scriptorium.llm import chunks as C
 
 
@@ -96,10 +97,10 @@ def test_frequent_digests_and_a_full_sieve_change_nothing(spark, monkeypatch):
     frame = spark.createDataFrame(docs(), "doc_id bigint, text string").coalesce(1)
     shape = lambda: sorted(tuple(r) for r in C.repeated_runs(frame).collect())
     want = shape()
-    monkeypatch.setattr(C, "OFTEN", 0)
+    monkeypatch.setattr(_common, "OFTEN", 0)
     monkeypatch.setattr(C, "SIEVE_OF_CHUNKS", 64)
     assert shape() == want
-    monkeypatch.setattr(C, "OFTEN", 10**9)
+    monkeypatch.setattr(_common, "OFTEN", 10**9)
     assert shape() == want
 
 

@@ -80,3 +80,13 @@ def test_odd_rows_and_empty(spark, odd, empty):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 0 in ids and 1 not in ids and 6 not in ids and ids.count(7) == 1 and None in ids
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(3))
+    rows = [(1, a, 0), (1, b, 1), (1, a, 2), (2, a, 3), (3, c, 4), (3, c, 4), (4, b, 5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
+    got = simhash.keep_one(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (1, b), (3, c)])
