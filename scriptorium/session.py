@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not found:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
     if not held.isDefined():
