@@ -156,26 +156,20 @@ def _marked(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return stored(rows.mapInArrow(kernel, schema), "marked")
 
 
-def term_documents(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(term, docs): in how many documents each term of wanted(term) stands, and maybe some more; a task sums up before it sends."""
+def term_documents(docs: DataFrame, text: str) -> DataFrame:
+    """(term, docs): in how many documents each term stands; a task sums up before it sends."""
     schema = pa.schema([("term", pa.string()), ("docs", pa.int64())])
-    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(wanted.select(F.xxhash64("term").alias("key")), "key"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-
-        def sent() -> pa.RecordBatch:
-            some = {t: n for t, n in counts.items() if text_hash(t) in sieve.value}
-            counts.clear()
-            return record_batch(schema, [list(some), list(some.values())])
-
         for batch in batches:
             for value in batch.column("_text").to_pylist():
                 if value:
                     counts.update(set(_TERM.findall(value.lower())))
                 if len(counts) > SENT:
-                    yield sent()
-        yield sent()
+                    yield record_batch(schema, [list(counts), list(counts.values())])
+                    counts = Counter()
+        yield record_batch(schema, [list(counts), list(counts.values())])
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(kernel, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
@@ -253,7 +247,7 @@ def disclosing(docs: DataFrame, marked: DataFrame, text: str, least: float = MIN
     pairs = stored(pairs.groupBy("term", "kind", "entity").agg(F.max("both").alias("both")).join(each.union(kinds), ["kind", "entity"]).select("term", "kind", "entity", "both", "with"), "pairs")
     # one row
     total = marked.agg(F.count("*").alias("all"))
-    counted = pairs.join(term_documents(docs, text, pairs), "term").join(F.broadcast(total))
+    counted = pairs.join(term_documents(docs, text), "term").join(F.broadcast(total))
     share = F.col("with") / F.col("all")
     pmi = F.log2(F.col("both") / F.greatest("docs", "both") / share)
     return counted.where(share < 1).where(pmi / -F.log2(share) >= least).select("term", "kind", "entity")
