@@ -68,6 +68,25 @@ def parse_keywords(answer: Column | str) -> Column:
     return F.when(F.size(good) >= 5, F.slice(good, 1, 5)).otherwise(F.array().cast("array<string>"))
 
 
+MIN_KEYWORDS, MIN_WORDS, KEYWORD_WORDS = 5, 100, 6
+
+
+def input_mode(raw: Column | str) -> Column:
+    """A struct (mode, valid, counter) of what was typed in: keywords, abstract or empty.
+
+    Short parts between commas, or one short text, are keywords, and five are wanted; anything else is an
+    abstract of at least 100 words.
+    """
+    text = squash_ends(F.coalesce(_col(raw), F.lit("")))
+    parts, n = split_list(text), F.size(words(text))
+    listed = (F.size(parts) >= 1) & F.forall(parts, lambda x: F.size(words(x)) <= KEYWORD_WORDS)
+    short = F.when(text.contains(","), listed).otherwise(n <= KEYWORD_WORDS)
+    mode = F.when(text == "", "empty").when(short, "keywords").otherwise("abstract")
+    valid = F.when(text == "", False).when(short, F.size(parts) >= MIN_KEYWORDS).otherwise(n >= MIN_WORDS)
+    counter = F.when(text == "", "").when(short, F.format_string(f"%d / {MIN_KEYWORDS} keywords", F.size(parts))).otherwise(F.format_string(f"%d / {MIN_WORDS} words", n))
+    return F.struct(mode.alias("mode"), valid.alias("valid"), counter.alias("counter"))
+
+
 def rebuilt_abstract(positions: Column | str) -> Column:
     """A text from a map of word to the places where it stands."""
     placed = F.transform(F.map_entries(_col(positions)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))

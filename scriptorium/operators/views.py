@@ -52,6 +52,36 @@ def concept_members(nodes: DataFrame, communities: DataFrame, members: int = 12)
     return ranked.where(F.col("rank") <= members).select("community", "rank", "pos")
 
 
+def concept_nodes(nodes: DataFrame, terms: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, label, community): a node for each of terms(community, rank, term), six at most, whose community has members.
+
+    An id is the term's slug, or that with the next number from 2 on that neither an id of nodes(id) nor
+    another term's slug takes; numbers are given in order of community and rank, also to terms left out.
+    """
+    wanted = terms.where("rank <= 6").select("community", "rank", "term", F.when(slug("term") == "", "untitled").otherwise(slug("term")).alias("slug"))
+    numbered = wanted.withColumn("i", F.row_number().over(Window.partitionBy("slug").orderBy("community", "rank")))
+    most = numbered.groupBy("slug").agg(F.max("i").alias("m"))
+    ids, slugs = nodes.select(F.col("id").alias("name")), most.select(F.col("slug").alias("name"))
+    # ids that a slug may meet: its own and those with a number behind it
+    met = ids.union(slugs).distinct().select(F.explode(F.array("name", F.regexp_extract("name", "^(.*)-[0-9]+$", 1))).alias("slug")).groupBy("slug").agg(F.count("*").alias("taken"))
+    tries = most.join(met, "slug").select("slug", F.explode(F.sequence(F.lit(1), (F.col("m") + F.col("taken")).cast("int"))).alias("k"))
+    tries = tries.withColumn("name", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))))
+    free = tries.join(ids, "name", "left_anti").join(slugs.withColumn("k2", F.lit(True)), "name", "left").where("k = 1 or k2 is null")
+    free = free.select("slug", F.col("name").alias("id"), F.row_number().over(Window.partitionBy("slug").orderBy("k")).alias("i"))
+    return numbered.join(free, ["slug", "i"]).join(members.select("community"), "community", "left_semi").select("id", F.col("term").alias("label"), "community")
+
+
+def appears_in(concepts: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): an edge from each of concepts(id, community) to each document of members(community, pos), by ids of nodes(pos, id)."""
+    named = members.select("community", "pos").join(nodes.select("pos", F.col("id").alias("dst")), "pos")
+    return concepts.select(F.col("id").alias("src"), "community").join(named, "community").where("src <> dst").select("src", "dst")
+
+
+def label_matches(labels: DataFrame, asked: str) -> DataFrame:
+    """The rows of labels(label) whose label holds what is asked, in any case; a blank question matches all."""
+    return labels.where(F.lower("label").contains(asked.strip().lower()))
+
+
 def cooccurrence(concepts: DataFrame) -> DataFrame:
     """(a, b, weight): concepts(concept, pos) that share members, at most a dozen each."""
     one, two = concepts.select(F.col("concept").alias("a"), "pos"), concepts.select(F.col("concept").alias("b"), "pos")
