@@ -36,9 +36,18 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 #: Characters of the texts that are encoded together, and words whose pieces a task keeps.
 CHARS, KEPT = 6_000_000, 400_000
+#: Characters by whose last ones pieces are sought: short ones at once, longer ones by their possible lengths.
+TAIL = 3
+#: The piece before a word's first; no complement of a code point.
+START = -(1 << 21)
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
+def cut_words(text: str | None) -> list[str]:
+    """The words of a text with its leading space."""
+    return _WORD.findall(" " + text) if text else []
+
+
 class Pieces:
     """A vocabulary: the scores of its pieces, and the bytes of each id."""
 
@@ -49,7 +58,6 @@ class Pieces:
         self.score: dict[str, tuple[float, int]] = {}
         self.byte = [0] * 256
         self.text: list[bytes] = []
-        lengths: dict[str, set[int]] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -62,10 +70,7 @@ class Pieces:
                 if " " in plain.lstrip(" ") or ("\n" in plain and plain != "\n"):
                     raise ValueError(f"words can't be cut apart for the piece {piece!r}")
                 self.score[plain] = (model.get_score(i), i)
-                lengths.setdefault(plain[-3:], set()).add(len(plain))
                 self.text.append(plain.encode())
-        #: For the last three characters of a text: the lengths of the pieces that may end there, longest first.
-        self.lengths = {c: (*sorted((n for n in x if n > 2), reverse=True), 2, 1) for c, x in lengths.items() if len(c) == 3}
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         # The two parts that a piece's last merge joins, and when it is made: merges go by score, best first.
         self.parts: dict[str, tuple[str, str]] = {}
@@ -77,6 +82,13 @@ class Pieces:
                     self.parts[piece], self.when[piece] = (parts[0], parts[1]), -self.score[piece][0]
         #: Pieces that merges can give; no path has others.
         self.reached = {x: v for x, v in self.score.items() if len(x) == 1 or x in self.parts}
+        self.name = {i: x for x, (_, i) in self.reached.items()}
+        #: For the last TAIL characters of a text: the lengths of the longer pieces that may end there, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for n in sorted({len(x) for x in self.reached if len(x) > TAIL}, reverse=True):
+            for tail in {x[-TAIL:] for x in self.reached if len(x) == n}:
+                self.lengths.setdefault(tail, []).append(n)
+        self.known_tails: dict[str, tuple[list[int], list[tuple[int, float, int]]]] = {}
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """A short text's pieces by merges, best score first, leftmost of equals, down to so many pieces."""
@@ -110,13 +122,25 @@ class Pieces:
             else:
                 return True
 
-    def encode_words(self, words: list[str], admitted: dict[tuple[str, str], bool] | None = None) -> dict[str, array]:
+    def fits(self, left: int, right: int) -> bool:
+        """admitted() for ids; a character without a piece is the complement of its code point."""
+        return left == START or self.admitted(self.name[left] if left >= 0 else chr(~left), self.name[right])
+
+    def ending(self, tail: str) -> tuple[list[int], list[tuple[int, float, int]]]:
+        """What may end in a text's last TAIL characters: lengths of longer pieces, and the others as (length, score, id)."""
+        if len(self.known_tails) > KEPT:
+            self.known_tails.clear()
+        short = [(n, *self.reached[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.reached]
+        found = self.known_tails[tail] = self.lengths.get(tail, []), short
+        return found
+
+    def encode_words(self, words: list[str], admitted: dict[int, bool] | None = None) -> dict[str, array]:
         """The ids of each of some distinct words; admitted keeps what is known of pairs from call to call."""
         out: dict[str, array] = {}
-        score, lengths, unknown, short = self.reached, self.lengths, self.unknown, (2, 1)
+        score, tails, name, unknown = self.reached, self.known_tails, self.name, self.unknown
         admitted = {} if admitted is None else admitted
         best: list[float] = [0.0]  # for each end in the word before: the score of its path, and its last piece
-        piece: list[str] = [""]
+        piece: list[int] = [START]
         last, floor = "", float("-inf")
         for word in sorted(words):
             same, most = 0, min(len(word), len(last))
@@ -125,56 +149,69 @@ class Pieces:
             del best[same + 1 :], piece[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 # the forward step: the best of the paths that end in a piece which their last one admits
-                top, by = floor, ""
-                for n in lengths.get(word[max(0, end - 3) : end], short):
-                    if n <= end and (found := score.get(right := word[end - n : end])):
+                tail = word[end - TAIL : end] if end > TAIL else word[:end]
+                long, short = tails.get(tail) or self.ending(tail)
+                top, by = floor, START
+                for n in long:
+                    if n <= end and (found := score.get(word[end - n : end])):
                         if (total := best[end - n] + found[0]) > top:
-                            left = piece[end - n]
-                            if (fits := admitted.get((left, right))) is None:
-                                fits = admitted[left, right] = not left or self.admitted(left, right)
+                            pair = piece[end - n] << 32 | found[1]
+                            if (fits := admitted.get(pair)) is None:
+                                fits = admitted[pair] = self.fits(piece[end - n], found[1])
                             if fits:
-                                top, by = total, right
-                if by:
+                                top, by = total, found[1]
+                for n, gain, right in short:
+                    if (total := best[end - n] + gain) > top:
+                        pair = piece[end - n] << 32 | right
+                        if (fits := admitted.get(pair)) is None:
+                            fits = admitted[pair] = self.fits(piece[end - n], right)
+                        if fits:
+                            top, by = total, right
+                if by != START:
                     best.append(top)
                     piece.append(by)
                 else:
                     best.append(best[end - 1] + unknown)
-                    piece.append(word[end - 1])
+                    piece.append(score[word[end - 1]][1] if word[end - 1] in score else ~ord(word[end - 1]))
             ids = array("i")
             end = len(word)
             while end:
-                step = piece[end]
-                if step in score:
-                    ids.append(score[step][1])
+                if (step := piece[end]) >= 0:
+                    ids.append(step)
+                    end -= len(name[step])
                 else:
-                    ids.extend(self.byte[x] for x in reversed(step.encode("utf-8", "replace")))
-                end -= len(step)
+                    ids.extend(self.byte[x] for x in reversed(word[end - 1].encode("utf-8", "replace")))
+                    end -= 1
             ids.reverse()
             out[word] = ids
             last = word
         return out
 
-    def encode(self, texts: list[str | None], known: dict[str, array] | None = None, admitted: dict[tuple[str, str], bool] | None = None) -> list[array]:
-        """The ids of each text; known and admitted keep words and pairs from call to call."""
+    def encode(self, texts: list[str | None]) -> list[array]:
+        """The ids of each text."""
+        return self.encode_cut([cut_words(x) for x in texts])
+
+    def encode_cut(self, cut: list[list[str]], known: dict[str, bytes] | None = None, admitted: dict[int, bool] | None = None) -> list[array]:
+        """The ids of texts cut into words; known and admitted keep words (their ids as bytes) and pairs from call to call."""
         known = {} if known is None else known
-        cut = [_WORD.findall(" " + x) if x else [] for x in texts]
-        fresh = set().union(*cut).difference(known)
+        every = set().union(*cut)
+        fresh = every.difference(known)
         if len(known) + len(fresh) > KEPT:
-            known.clear()
-            fresh = set().union(*cut)
+            # the words of these texts stay, the frequent ones among them
+            for word in known.keys() - every:
+                del known[word]
         if admitted is not None and len(admitted) > KEPT:
             admitted.clear()
         made = self.encode_words(list(fresh), admitted)
         for word, ids in made.items():
             # texts are their words in a row, and so are their pieces' bytes
-            if b"".join([self.text[i] for i in ids]) != word.encode("utf-8", "replace"):
+            if b"".join(map(self.text.__getitem__, ids)) != word.encode("utf-8", "replace"):
                 raise ValueError(f"the pieces of {word!r} don't give it back")
-        known |= made
+            known[word] = ids.tobytes()
         out = []
         for words in cut:
             ids = array("i")
-            for w in words:
-                ids += known[w]
+            ids.frombytes(b"".join(map(known.__getitem__, words)))
             out.append(ids)
         return out
 
@@ -198,11 +235,12 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                     continue
                 part, texts = batch.slice(lo, hi - lo), texts_of[lo:hi]
                 lo, held_chars = hi, 0
-                ids = pieces.encode(texts, known, admitted)
+                cut = [cut_words(x) for x in texts]
+                ids = pieces.encode_cut(cut, known, admitted)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.frombuffer(b"".join([x.tobytes() for x in ids]), np.int32)
-                # encode() has checked each word; what is left is that the words make up the text
-                same = ["".join(_WORD.findall(" " + t)) == " " + t if t else True for t in texts]
+                # each word has been checked; what is left is that the words, which follow each other, make up the text
+                same = [sum(map(len, words)) == len(t) + 1 if t else True for t, words in zip(texts, cut, strict=True)]
                 yield record_batch(schema, [part.column("doc_id"), np.diff(ends), same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
