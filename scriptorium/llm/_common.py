@@ -48,6 +48,12 @@ def _drop(root: str) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: no lineage, and safe when executors go."""
     spark = df.sparkSession

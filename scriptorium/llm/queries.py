@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chunks, decontaminate, language, pieces, pii, quality, secrets, simhash, suffix_tree, warc
+from . import centroids, chunks, decontaminate, language, periods, pieces, pii, quality, secrets, simhash, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_pii": pii.op9_pii,
     "op10_chunks": chunks.op10_chunks,
+    "op11_periods": periods.op11_periods,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op7_secrets": secrets.SQL,
+    "op13_centroids": centroids.SQL,
 }
