@@ -6,7 +6,8 @@ bytes, both neighbours) and transitions; forward and backward sums run over whol
 
 Labelled tokens come from labelled documents: a word of a toxic document is a toxic token if the word or its
 beginning is held significantly often by toxic documents (a log-likelihood ratio of MIN_RATIO or more in the
-direction of label 1); every other word is clean. The field is fitted to these tags by AdaGrad on its exact
+direction of label 1, of documents between different neighbours, as copies bear no witness of their own);
+every other word is clean. The field is fitted to these tags by AdaGrad on its exact
 gradient. The marginals of a text give its expected number of toxic words, the most certain one and its
 length; a logistic regression on these, fitted on marginals of folds that the field has not seen, gives the
 score. A word at SPAN_AT or more belongs to an offending span.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import code_points, fold, mix, record_batch, table
 
 #: The fit's bounds: rows of either label, and bytes of a text.
-MAX_ROWS, MAX_BYTES = 3000, 8192
+MAX_ROWS, MAX_BYTES = 1000, 4096
 BITS = 18
 PREFIXES, SUFFIX = (3, 4, 5, 6, 7, 8), 3
 #: A word or a beginning of one is evidence from this log-likelihood ratio on and with this many toxic documents.
@@ -171,6 +172,8 @@ def _tags(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Whether each word is a toxic token, from labels of documents."""
     kinds = hashes[:-1]  # words and their beginnings
     up = label[doc] == 1
+    word = hashes[0]
+    around = mix(np.roll(word, 1) + mix(np.roll(word, -1)))
     n1, n0 = float((label == 1).sum()), float((label == 0).sum())
     out = np.zeros(len(doc), bool)
     for k, row in enumerate(kinds):
@@ -180,6 +183,10 @@ def _tags(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
         of, toxic = pair // len(label), label[pair % len(label)] == 1
         a = np.bincount(of[toxic], minlength=len(key)).astype(float)
         b = np.bincount(of[~toxic], minlength=len(key)).astype(float)
+        # copies of a document are one witness: a word counts no more often than it has different neighbours
+        held = np.flatnonzero(up[here])
+        first = np.unique(mix(place[held].astype(np.uint64) + np.uint64(1)) + around[here[held]], return_index=True)[1]
+        a = np.minimum(a, np.bincount(place[held[first]], minlength=len(key)))
         rate = (a + b) / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             part = lambda x, e: np.where(x > 0, x * np.log(x / e), 0)
@@ -190,6 +197,14 @@ def _tags(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out & up
 
 
+def _odds(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    out = np.zeros(places.shape[1])
+    for row in places:
+        out += weights[row]
+    return out
+
+
 def _field(places: np.ndarray, doc: np.ndarray, tags: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and transitions: AdaGrad on the gradient of the log likelihood of tags."""
     weights, moves = np.zeros(1 << bits), np.zeros((2, 2))
@@ -201,9 +216,10 @@ def _field(places: np.ndarray, doc: np.ndarray, tags: np.ndarray, bits: int) ->
             if lo == hi:
                 continue
             at, own, tag = places[:, lo:hi], doc[lo:hi], tags[lo:hi]
-            p, pairs = marginals(weights[at].sum(0), own, moves)
-            miss = np.broadcast_to(tag - p, at.shape)
-            slope = np.bincount(at.ravel(), miss.ravel(), 1 << bits) - RIDGE * (hi - lo) * weights
+            p, pairs = marginals(_odds(weights, at), own, moves)
+            slope = -RIDGE * (hi - lo) * weights
+            for row in at:
+                slope += np.bincount(row, tag - p, 1 << bits)
             slope[0] = 0  # the place of absent features
             square += slope * slope
             weights += RATE * slope / np.sqrt(square)
@@ -275,7 +291,7 @@ class Model:
         for k in range(FOLDS):
             weights, moves = fitted(part != k)
             held = (part == k)[doc]
-            p, _ = marginals(weights[places[:, held]].sum(0), doc[held], moves)
+            p, _ = marginals(_odds(weights, places[:, held]), doc[held], moves)
             x[part == k] = _gathered(p, doc[held], len(label))[part == k]
         return cls(*fitted(np.ones(len(label), bool)), _logistic(x, label.astype(float), prior), bits)
 
@@ -284,10 +300,7 @@ class Model:
         hashes, doc, starts, ends = prepared(texts)
         if self.weights is None or not len(doc):
             return np.zeros(len(doc)), doc, starts, ends
-        odds = np.zeros(len(doc))
-        for row in features(hashes, doc, self.bits):
-            odds += self.weights[row]
-        return marginals(odds, doc, self.moves)[0], doc, starts, ends
+        return marginals(_odds(self.weights, features(hashes, doc, self.bits)), doc, self.moves)[0], doc, starts, ends
 
     def scores(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Of n texts with these marginals."""
