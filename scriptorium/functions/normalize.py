@@ -60,11 +60,20 @@ def squash_ends(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
+# What may stand before a keyword (a number with a sign behind it, or a bullet), and what encloses it.
+_NUMBER, _BULLET, _QUOTES = "[0-9]+[.)]", "[-*•]", "\"'`"
+
+
 def parse_keywords(answer: Column | str) -> Column:
-    """Five keywords out of a model's answer, or none: at most six words each, distinct, in order."""
-    parts = F.split(F.coalesce(_col(answer), F.lit("")), "[,;\n]", -1)
-    bare = F.transform(parts, lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, "^.*:", ""), r"""^[\s\-*•"'`.0-9)]+|[\s"'`.]+$""", "")))
-    good = F.array_distinct(F.filter(F.transform(bare, squash), lambda x: (x != "") & (F.size(words(x)) <= 6)))
+    """Five keywords out of a model's answer, or none: at most six words each, distinct, in order.
+
+    Of a part only what follows its last colon counts, without a number or bullet and quotes before it and
+    without quotes and full stops behind it. Digits that no dot or bracket follows are part of the keyword.
+    """
+    parts = F.transform(F.split(F.coalesce(_col(answer), F.lit("")), "[,;\n]", -1), lambda x: squash_ends(F.regexp_replace(x, "^.*:", "")))
+    begun = F.transform(parts, lambda x: F.regexp_replace(x, f"^({_NUMBER}|{_BULLET})?{BLANKS}*[{_QUOTES}]*", ""))
+    bare = F.transform(begun, lambda x: F.lower(F.regexp_replace(x, f"[{_QUOTES}.]+$", "")))
+    good = F.array_distinct(F.filter(bare, lambda x: F.size(words(x)).between(1, 6)))
     return F.when(F.size(good) >= 5, F.slice(good, 1, 5)).otherwise(F.array().cast("array<string>"))
 
 

@@ -55,60 +55,80 @@ def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
     return top_k(found.groupBy("q", "pos").agg(F.sum(part).alias("score")), k)
 
 
-#: Bytes of query vectors sent to every task at once; more queries go in further blocks.
-QUERY_BYTES = 64_000_000
+#: Vectors that are packed into one row of a grid.
+PACKED = 2048
+
+
+def _packed(rows: DataFrame, key: str) -> DataFrame:
+    """(n, width, keys, matrix): up to PACKED vectors of rows(key, v) a row, packed where they lie, without a shuffle."""
+    schema = pa.schema([("n", pa.int32()), ("width", pa.int32()), ("keys", pa.binary()), ("matrix", pa.binary())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            n = sum(map(len, keys))
+            if n:
+                size = sum(map(len, flat))
+                if size % n:
+                    raise ValueError("vectors differ in length")
+                body = np.concatenate(flat).astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([size // n], pa.int32()), pa.array([np.concatenate(keys).astype("<i8").tobytes()]), pa.array([body])], schema=schema)
+            keys.clear()
+            flat.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PACKED):
+                part = batch.slice(lo, PACKED)
+                vectors = part.column("v")
+                if len(set(vectors.value_lengths().to_pylist())) > 1 or vectors.null_count:
+                    raise ValueError("vectors differ in length")
+                keys.append(part.column(key).to_numpy())
+                flat.append(np.asarray(vectors.flatten(), np.float64))
+                if sum(map(len, keys)) >= PACKED:
+                    yield from packed()
+        yield from packed()
+
+    return rows.select(F.col(key).cast("bigint").alias(key), "v").mapInArrow(kernel, "n int, width int, keys binary, matrix binary")
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Dot products of queries(q, v) and vectors(pos, v), scores of any sign; each task sends its best k.
+    """(q, rank, pos, score): dot products of queries(q, v) and vectors(pos, v), scores of any sign, the best k of each q.
 
-    Query vectors are read in blocks of bounded size. Vectors of another length raise an error.
+    Both tables are packed into blocks and dealt over the rows and columns of a grid with about as many cells
+    as there are shuffle partitions, so a block goes to one row or column of cells only. A pair of blocks is
+    one matrix product, of which the best k a query leave; these meet at the query. Nothing passes through
+    the driver. Vectors of different lengths raise an error.
     """
-    spark = vectors.sparkSession
+    side = max(1, round(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    line = lambda name: F.pmod(F.xxhash64("keys"), F.lit(side)).alias(name)
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    asked = _packed(queries, "q").select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "keys", "matrix")), line("row"), every.alias("column"))
+    held = _packed(vectors, "pos").select(*(F.col(c).alias(f"v_{c}") for c in ("n", "width", "keys", "matrix")), line("column"), every.alias("row"))
     schema = pa.schema([("q", pa.int64()), ("pos", pa.int64()), ("score", pa.float64())])
-    out = spark.createDataFrame([], "q bigint, pos bigint, score double")
-    for keys, matrix in _query_blocks(queries):
-        held = spark.sparkContext.broadcast((keys, matrix))
-
-        def kernel(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            keys, matrix = held.value
-            for batch in batches:
-                pos = batch.column("pos").to_numpy()
-                for lo in range(0, len(pos), 4096):
-                    flat = batch.column("v").slice(lo, 4096)
-                    here = pos[lo : lo + 4096]
-                    block = np.asarray(flat.flatten(), np.float64).reshape(len(here), -1)
-                    if block.shape[1] != matrix.shape[1]:
-                        raise ValueError("vectors and queries differ in length")
-                    score = np.round(matrix @ block.T, 6)
-                    if exclude_self:
-                        score[keys[:, None] == here[None]] = -np.inf
-                    if k <= 0 or k >= len(here):
-                        rows, columns = np.indices(score.shape).reshape(2, -1)
-                    else:  # all that tie with the k-th best stay
-                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                        rows, columns = np.nonzero(score >= least)
-                    value = score[rows, columns]
-                    good = np.isfinite(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows[good]]), pa.array(here[columns[good]]), pa.array(value[good])], schema=schema)
-
-        out = out.unionByName(vectors.select(F.col("pos").cast("bigint").alias("pos"), "v").mapInArrow(kernel, "q bigint, pos bigint, score double"))
-    return top_k(out, k, positive=False)
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    keys: list[int] = []
-    rows: list[list[float]] = []
-    size = 0
-    for r in queries.select("q", "v").orderBy("q").toLocalIterator():
-        keys.append(r.q)
-        rows.append(r.v)
-        size += 8 * len(r.v)
-        if size >= QUERY_BYTES:
-            yield np.array(keys, np.int64), np.array(rows, np.float64)
-            keys, rows, size = [], [], 0
-    if keys:
-        yield np.array(keys, np.int64), np.array(rows, np.float64)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cell = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                if cell["q_width"] != cell["v_width"]:
+                    raise ValueError("vectors and queries differ in length")
+                (keys, left), (here, right) = ((np.frombuffer(cell[f"{x}_keys"], "<i8"), np.frombuffer(cell[f"{x}_matrix"], "<f8").reshape(cell[f"{x}_n"], -1)) for x in "qv")
+                score = np.round(left @ right.T, 6)
+                if exclude_self:
+                    score[keys[:, None] == here[None]] = -np.inf
+                if k <= 0 or k >= len(here):
+                    rows, columns = np.indices(score.shape).reshape(2, -1)
+                else:  # all that tie with the k-th best stay
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    rows, columns = np.nonzero(score >= least)
+                value = score[rows, columns]
+                good = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows[good]]), pa.array(here[columns[good]]), pa.array(value[good])], schema=schema)
+
+    pairs = asked.join(held.hint("shuffle_hash"), ["row", "column"]).drop("row", "column")
+    return top_k(pairs.mapInArrow(kernel, "q bigint, pos bigint, score double"), k, positive=False)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -129,6 +131,73 @@ def field_map(labels: DataFrame, links: DataFrame, least: int = MIN_FIELD) -> tu
     return fields.select("community", "size", "radius"), kept.join(F.broadcast(median)).where("n >= median").select("a", "b", "n")
 
 
+# The circle that a map starts from, its steps, and the forces among its fields.
+CIRCLE, STEPS, MARGIN, PUSH, PULL, LONGEST, PACE = 300.0, 400, 24.0, 60.0, 6.0, 40.0, 0.35
+#: Fields of a map; a map of more can't be read, and its steps grow with their square.
+MAX_FIELDS = 400
+
+
+def field_layout(fields: DataFrame, links: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(community, x, y) of the fields(community, size, radius) and links(a, b, n) of a map.
+
+    Fields start on a circle, the largest first; in every step all push each other apart, links pull, and the
+    step grows shorter. The fields of one map, MAX_FIELDS at most, are one row, and the steps are a fold over it.
+    """
+    ordered = lambda name: F.transform("fields", lambda f: f[name])
+    row = fields.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), F.col("community").cast("bigint").alias("community"), F.col("radius").alias("r")))).alias("fields"))
+    row = row.where(F.size("fields") > 0).select(F.when(F.size("fields") > MAX_FIELDS, F.raise_error(F.lit(f"a map has {MAX_FIELDS} fields at most"))).otherwise(F.col("fields")).alias("fields"))
+    tied = links.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")))).alias("links"))
+    row = row.crossJoin(tied).select(ordered("community").alias("ids"), ordered("r").alias("r"), F.size("fields").alias("c"), "links")  # a row each
+    place = lambda x: (F.array_position("ids", x) - 1).cast("int")
+    most = F.greatest(F.lit(1), F.aggregate("links", F.lit(1).cast("bigint"), lambda a, e: F.greatest(a, -e["o"]))).cast("double")
+    row = row.select("ids", "r", "c", F.transform("links", lambda e: F.struct(place(e["a"]).alias("s"), place(e["b"]).alias("t"), (-e["o"] / most).alias("share"))).alias("links"))
+    row = row.withColumn("links", F.filter("links", lambda e: (e["s"] >= 0) & (e["t"] >= 0)))
+    numbers = F.sequence(F.lit(0), F.col("c") - 1)
+    turn = lambda i: (i / F.col("c")) * math.pi * 2
+    spot = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    start = F.transform(numbers, lambda i: spot(F.cos(turn(i)) * CIRCLE, F.sin(turn(i)) * CIRCLE))
+
+    def moved(spots: Column, step: Column) -> Column:
+        cool = 1 - step / float(steps)
+
+        def force(p: Column, i: Column) -> Column:
+            def pushed(f: Column, j: Column) -> Column:
+                q = F.get(spots, j)
+                away = lambda v: F.get(F.transform(F.array(v), lambda d: spot(f["x"] + d["x"] / F.sqrt(d["d2"]) * d["push"], f["y"] + d["y"] / F.sqrt(d["d2"]) * d["push"])), F.lit(0))
+                room = F.get("r", i) + F.get("r", j) + MARGIN
+                gap = lambda d: (d["x"] * d["x"] + d["y"] * d["y"])
+                apart = spot(p["x"] - q["x"], p["y"] - q["y"])
+                # fields on one spot part along a fixed line
+                nudged = F.transform(F.array(apart), lambda d: F.when(gap(d) < 1, F.struct((i - j).cast("double").alias("x"), F.when(i < j, 1.0).otherwise(-1.0).alias("y"), F.lit(2.0).alias("d2"))).otherwise(F.struct(d["x"].alias("x"), d["y"].alias("y"), gap(d).alias("d2"))))
+                ready = F.get(F.transform(nudged, lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), d["d2"].alias("d2"), (room * room * PUSH / d["d2"]).alias("push"))), F.lit(0))
+                return F.when(i == j, f).otherwise(away(ready))
+
+            def pulled(f: Column, e: Column) -> Column:
+                a, b = F.get(spots, e["s"]), F.get(spots, e["t"])
+                line = spot(b["x"] - a["x"], b["y"] - a["y"])
+                far = lambda d: F.sqrt(d["x"] * d["x"] + d["y"] * d["y"])
+                sized = F.transform(F.array(line), lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), F.when(far(d) == 0, 1.0).otherwise(far(d)).alias("d")))
+                tug = F.get(F.transform(sized, lambda d: spot(d["x"] / d["d"] * (d["d"] * e["share"] / PULL), d["y"] / d["d"] * (d["d"] * e["share"] / PULL))), F.lit(0))
+                return F.when(e["s"] == i, spot(f["x"] + tug["x"], f["y"] + tug["y"])).when(e["t"] == i, spot(f["x"] - tug["x"], f["y"] - tug["y"])).otherwise(f)
+
+            zero = spot(F.lit(0.0), F.lit(0.0))
+            return F.aggregate("links", F.aggregate(numbers, zero, pushed), pulled)
+
+        def stepped(p: Column, i: Column) -> Column:
+            def go(f: Column) -> Column:
+                size = F.sqrt(f["x"] * f["x"] + f["y"] * f["y"])
+                length = F.least(F.lit(LONGEST), size) * cool * PACE
+                unit = F.when(size == 0, 1.0).otherwise(size)
+                return spot(p["x"] + f["x"] / unit * length, p["y"] + f["y"] / unit * length)
+
+            return F.get(F.transform(F.array(force(p, i)), go), F.lit(0))
+
+        return F.transform(spots, stepped)
+
+    ended = row.select("ids", F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, moved).alias("spots"))
+    return ended.select(F.explode(F.arrays_zip("ids", "spots")).alias("z")).select(F.col("z.ids").alias("community"), F.col("z.spots.x").alias("x"), F.col("z.spots.y").alias("y"))
+
+
 def display_label(terms):
     """A community's name of two terms: the first, and the first other without a word of it."""
     head = F.element_at(terms, 1)

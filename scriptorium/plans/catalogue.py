@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, pages, reports, search, text, trends
+from . import feeds, graph, pages, reports, search, streams, text, trends
 
-_PARTS = (text, search, graph, trends, pages, reports)
+_PARTS = (text, search, graph, trends, pages, reports, streams, feeds)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}

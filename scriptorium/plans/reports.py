@@ -240,18 +240,27 @@ SELECT pos, kind, CASE WHEN t = '' THEN 'empty' WHEN short THEN 'keywords' ELSE
   CASE WHEN t = '' THEN '' WHEN short THEN len(parts) || ' / 5 keywords' ELSE n || ' / 100 words' END AS counter FROM md"""
 
 
+#: What stands before each word of a made-up answer: a bullet, digits that stay, numbers that go.
+_STYLES = ["\n* ", " 3d ", "\n2. '", " 5) "]
+
+
 def parsed_keywords(spark, d):
-    """The first words of each document and of each benchmark item, put as a model's answer."""
+    """The first words of each document and of each benchmark item, put as a model's answer in four styles."""
     texts = papers(spark, d).select("pos", "abstract").union(benchmark(spark, d).select(-1 - F.col("q"), "text"))
-    answer = F.concat(F.lit("Keywords: - "), F.array_join(F.slice(T.words("abstract"), 1, 7), ",\n* "))
+    style = F.element_at(F.array(*[F.lit(x) for x in _STYLES]), (F.pmod("pos", F.lit(len(_STYLES))) + 1).cast("int"))
+    answer = F.concat(F.lit("Keywords:"), F.array_join(F.transform(F.slice(T.words("abstract"), 1, 7), lambda w: F.concat(style, w)), ","))
     return shaped(texts.select("pos", F.array_join(N.parse_keywords(answer), "|").alias("keywords")), "pos:bigint", "keywords:string")
 
 
+_WHITE = WS[1:-2]
 SQL["parsed_keywords"] = f"""WITH tx AS (SELECT doc_id AS pos, coalesce(text, '') AS t FROM documents UNION ALL SELECT -1 - item_id, coalesce(text, '') FROM benchmark),
-a AS (SELECT pos, unnest(string_split_regex('Keywords: - ' || array_to_string(list_filter(string_split_regex(t, {WS}), lambda x: x <> '')[1:7], ',' || chr(10) || '* '), '[,;\\n]')) AS x, generate_subscripts(string_split_regex('Keywords: - ' || array_to_string(list_filter(string_split_regex(t, {WS}), lambda x: x <> '')[1:7], ',' || chr(10) || '* '), '[,;\\n]'), 1) AS i FROM tx),
-b AS (SELECT pos, i, {squash_sql("lower(regexp_replace(regexp_replace(x, '^.*:', ''), '^[\\s\\-*•\"''`.0-9)]+|[\\s\"''`.]+$', '', 'g'))")} AS x FROM a),
-c AS (SELECT pos, x, min(i) AS i FROM b WHERE x <> '' AND {words_sql('x')} <= 6 GROUP BY pos, x), e AS (SELECT pos, count(*) AS n, list(x ORDER BY i)[1:5] AS k FROM c GROUP BY pos)
-SELECT pos, CASE WHEN n >= 5 THEN array_to_string(k, '|') ELSE '' END AS keywords FROM tx LEFT JOIN e USING (pos)"""
+st AS (SELECT pos AS id, t, CASE ((pos % 4) + 4) % 4 WHEN 0 THEN chr(10) || '* ' WHEN 1 THEN ' 3d ' WHEN 2 THEN chr(10) || '2. ''' ELSE ' 5) ' END AS s FROM tx),
+an AS (SELECT id, string_split_regex('Keywords:' || array_to_string(list_transform(list_filter(string_split_regex(t, {WS}), lambda x: x <> '')[1:7], lambda w: s || w), ','), '[,;\\n]') AS p FROM st),
+a AS (SELECT id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM an),
+b AS (SELECT id, i, regexp_replace(regexp_replace(x, '^.*:', ''), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS x FROM a),
+c AS (SELECT id, i, lower(regexp_replace(regexp_replace(x, '^([0-9]+[.)]|[-*•])?{_WHITE}*["''`]*', ''), '["''`.]+$', '')) AS x FROM b),
+g AS (SELECT id, x, min(i) AS i FROM c WHERE {words_sql('x')} BETWEEN 1 AND 6 GROUP BY id, x), e AS (SELECT id, count(*) AS n, list(x ORDER BY i)[1:5] AS k FROM g GROUP BY id)
+SELECT pos, CASE WHEN n >= 5 THEN array_to_string(k, '|') ELSE '' END AS keywords FROM tx LEFT JOIN e ON id = pos"""
 
 
 def exact_sample(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normalize import wants_overview
+from ..operators import embed as M
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import index as I
@@ -78,6 +79,24 @@ SQL["dense_search"] = f"""WITH v AS (SELECT vec_id AS pos, embedding::DOUBLE[] A
 s AS (SELECT a.pos AS q, b.pos AS pos, list_dot_product(a.v, b.v) AS s FROM v a, v b WHERE a.pos % 50 = 0), {top_sql('r', 's', 10, False)} SELECT q, rank, pos, score FROM r"""
 
 
+DIMS = 256
+
+
+def dense_text_search(spark, d):
+    """The documents nearest to each benchmark item, both as hashed projections of their tokens."""
+    encoder = M.HashedProjection(DIMS)
+    found = M.embedded(papers(spark, d), encoder, "pos", "abstract")
+    return shaped(S.dense_search(found, M.embedded(benchmark(spark, d), encoder, "q"), 10), *_RANKED)
+
+
+SQL["dense_text_search"] = f"""WITH tx AS (SELECT 0 AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+tk AS (SELECT kind, id, md5(lower(t)) AS h, count(*) AS n FROM (SELECT kind, id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t FROM tx) GROUP BY ALL),
+c AS (SELECT kind, id, ('0x' || substr(h, 1, 8))::BIGINT % {DIMS} AS i, sum(n * (1 - 2 * (('0x' || substr(h, 9, 2))::BIGINT % 2))) AS x FROM tk GROUP BY ALL),
+u AS (SELECT kind, id, i, x / sqrt(sum(x * x) OVER (PARTITION BY kind, id)) AS x FROM c WHERE x <> 0),
+s AS (SELECT q.item_id AS q, p.doc_id AS pos, coalesce(s, 0) AS s FROM benchmark q CROSS JOIN documents p LEFT JOIN (SELECT a.id AS q, b.id AS pos, sum(a.x * b.x) AS s FROM u a JOIN u b USING (i) WHERE a.kind = 1 AND b.kind = 0 GROUP BY ALL) m ON m.q = q.item_id AND m.pos = p.doc_id),
+{top_sql("r", "s", 10, False)} SELECT q, rank, pos, score FROM r"""
+
+
 def rrf_hybrid(spark, d):
     return shaped(engine(spark, d).search("hybrid", benchmark(spark, d), 10), *_RANKED)
 
@@ -216,5 +235,5 @@ def loglog_slope(spark, d):
 
 SQL["loglog_slope"] = f"WITH {PAPERS}, {terms_sql('uni', 'papers', 'pos', 'abstract', 1)} SELECT round(regr_slope(ln(y), ln(x)), 6) AS slope FROM (SELECT count(*) AS x, count(DISTINCT term) AS y FROM uni GROUP BY pos)"
 
-for _f in (inverted_overlap_search, tfidf_search, bm25_search, char_tfidf_search, dense_search, rrf_hybrid, hybrid_graph_expand, ladder, no_match_guard, pooled_qrels, retrieval_metrics, known_item, paired_bootstrap_ci, gold_set, loglog_slope):
+for _f in (inverted_overlap_search, tfidf_search, bm25_search, char_tfidf_search, dense_search, dense_text_search, rrf_hybrid, hybrid_graph_expand, ladder, no_match_guard, pooled_qrels, retrieval_metrics, known_item, paired_bootstrap_ci, gold_set, loglog_slope):
     QUERIES[_f.__name__] = _f

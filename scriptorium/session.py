@@ -33,19 +33,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes with release() or when the driver ends."""
+    root = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS[root] = spark
+        atexit.register(_drop, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again, for what several plans read.
 
     It goes with release() or when the driver ends.
     """
-    spark = df.sparkSession
-    root = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS[root] = spark
-        atexit.register(_drop, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "lz4_raw").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.normalize import strip_version, year_month_of_id
 from ..functions.text import squash, words
+from . import matrix
 from .decode import PAPER
 
 SNAPSHOT = T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("abstract", T.StringType()), T.StructField("categories", T.StringType()), T.StructField("authors_parsed", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("versions", T.ArrayType(T.StructType([T.StructField("version", T.StringType()), T.StructField("created", T.StringType())])))])
@@ -30,23 +33,26 @@ def write_papers(papers: DataFrame, path: str) -> None:
 
 
 def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines of a snapshot. Of a .zip its first .json entry, unpacked by one task, line by line."""
+    """(value): the lines of a snapshot. Of each .zip its first .json entry, unpacked by one task, a thousand lines at a time.
+
+    Archives are read as Spark's binary files, from any file system that it knows; one has two gigabytes at
+    most, as packed. An archive without such an entry is an error.
+    """
     if not path.endswith(".zip"):
         return spark.read.text(path)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("path").to_pylist():
-                with zipfile.ZipFile(name.removeprefix("file:")) as z, z.open(next(n for n in z.namelist() if n.endswith(".json"))) as f:
-                    held: list[str] = []
-                    for line in f:
-                        held.append(line.decode("utf-8", "replace"))
-                        if len(held) == 1000:
-                            yield pa.RecordBatch.from_arrays([pa.array(held)], names=["value"])
-                            held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+            for name, body in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(memoryview(body.as_buffer()))) as z:
+                    entry = next((n for n in z.namelist() if n.endswith(".json")), None)
+                    if entry is None:
+                        raise ValueError(f"{name} has no .json entry")
+                    with z.open(entry) as f:
+                        while held := [x.decode("utf-8", "replace") for x in itertools.islice(f, 1000)]:
+                            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
 
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(unpack, "value string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "value string")
 
 
 def snapshot_papers(lines: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def snapshot_papers(lines: DataFrame) -> DataFrame:
 
 
 def write_vectors(path: str, rows: np.ndarray) -> None:
-    """A matrix as two little-endian integers, rows and columns, and its numbers."""
+    """A small matrix of the driver's as two little-endian integers, rows and columns, and its numbers; tables go by save_vectors()."""
     matrix = np.asarray(rows, "<f4")
     if matrix.ndim != 2:
         raise ValueError("vectors must be of one length")
@@ -87,6 +93,19 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "pos bigint, v array<float>")
 
 
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """vectors(pos, v) as matrix files in a folder, one a task and in order of pos; what was there is replaced at the end."""
+    matrix.register(vectors.sparkSession)
+    ordered = vectors.select(F.col("pos").cast("bigint").alias("pos"), F.col("v").cast("array<float>").alias("v"))
+    ordered.repartitionByRange("pos").sortWithinPartitions("pos").write.format("vector_matrix").mode("overwrite").save(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, v) of a folder that save_vectors() has finished, or of one matrix file, its rows numbered from 0."""
+    matrix.register(spark)
+    return spark.read.format("vector_matrix").load(path)
+
+
 def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..operators.records import Seen, keep
 from . import decode as D
@@ -169,34 +170,59 @@ class Span(InputPartition):
     span: Q.Harvest
 
 
+def narrowed(h: Q.Harvest, asked: Filter) -> Q.Harvest | None:
+    """The harvest of what can pass a filter on published or primaryCategory; null if nothing can.
+
+    Other filters leave it as it is. Years are whole: Spark applies every filter again to the records.
+    """
+    name, value = asked.attribute if hasattr(asked, "attribute") else (), getattr(asked, "value", None)
+    if name == ("published",) and hasattr(value, "year"):
+        first, last = h.first, h.last
+        if isinstance(asked, EqualTo | GreaterThan | GreaterThanOrEqual):
+            first = max(first, value.year)
+        if isinstance(asked, EqualTo | LessThan | LessThanOrEqual):
+            last = min(last or value.year, value.year)
+        return None if last and first > last else Q.replace(h, first=first, last=last)
+    if name == ("primaryCategory",) and isinstance(asked, EqualTo | In):
+        wanted = tuple(x for x in (asked.value if isinstance(asked, In) else (asked.value,)) if isinstance(x, str))
+        under = lambda x: any(x == c or x.startswith(c + ".") for c in h.categories)
+        kept = tuple(x for x in wanted if not h.categories or under(x))
+        return Q.replace(h, categories=kept) if kept else None
+    return h
+
+
 class HarvestSource(DataSource):
     """spark.read.format("harvest").options(source=, keywords=, categories=, first=, last=, most=).load()
 
-    One partition for each keyword, and for OAI for each set. Records of different partitions can repeat:
-    operators.records.dedupe() settles them.
+    Papers, and the first of their categories as primaryCategory. One partition for each keyword, and for OAI
+    for each set. Records of different partitions can repeat: operators.records.dedupe() settles them.
     """
 
     #: Replaced in tests; a fetcher waits before each of its own requests.
     fetch: Fetch = staticmethod(http())
+    #: Another reader than HarvestReader.
+    reads: type[DataSourceReader] | None = None
 
     @classmethod
     def name(cls) -> str:
         return "harvest"
 
     def schema(self):
-        return D.PAPER
+        return T.StructType([*D.PAPER.fields, T.StructField("primaryCategory", T.StringType())])
 
     def reader(self, schema):
         split = lambda key: tuple(x for x in self.options.get(key, "").split(",") if x.strip())
         asked = Q.Harvest(split("keywords"), split("categories"), int(self.options.get("first", 0)), int(self.options.get("last", 0)), int(self.options.get("most", 1000)), self.options.get("source", "arxiv"))
-        return HarvestReader(asked, type(self).fetch)
+        return (self.reads or HarvestReader)(asked, type(self).fetch)
 
 
 class HarvestReader(DataSourceReader):
     def __init__(self, asked: Q.Harvest, fetch: Fetch):
-        self.asked, self.fetch = asked, fetch
+        self.asked, self.fetch, self.none = asked, fetch, False
 
     def partitions(self):
+        if self.none:
+            return [Span(Q.replace(self.asked, most=0))]
         words = Q.nonblank(self.asked.keywords) or [None]
         share = math.ceil(self.asked.most / len(words))
         if self.asked.source == "oai":
@@ -204,13 +230,34 @@ class HarvestReader(DataSourceReader):
         return [Span(self.asked.span(w, None, share)) for w in words]
 
     def read(self, partition: Span):
+        if not partition.span.most:
+            return
         run = link(partition.span.source, self.fetch) if partition.span.source != "auto" else Router([(n, link(n, self.fetch)) for n in ("arxiv", "openalex", "semanticscholar")])
         found, error = harvest(partition.span, run)
         if error and not found:
             raise error
         for r in found:
-            yield tuple(r[f.name] for f in D.PAPER)
+            yield (*(r[f.name] for f in D.PAPER), next(iter(r["categories"]), None))
+
+
+class PushingReader(HarvestReader):
+    def pushFilters(self, filters):
+        for asked in filters:
+            found = narrowed(self.asked, asked)
+            self.none |= found is None
+            self.asked = found or self.asked
+            yield asked  # Spark applies it too, as a request knows whole years
+
+
+class PushedHarvestSource(HarvestSource):
+    """The same, with filters on published and primaryCategory in the request, so that `most` counts records within them.
+
+    Spark wants spark.sql.python.filterPushdown.enabled for it, which register() sets.
+    """
+
+    reads = PushingReader
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(HarvestSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PushedHarvestSource)

@@ -1,6 +1,7 @@
 import datetime
 import json
 import sys
+import urllib.parse
 import zipfile
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.records import Seen
 from scriptorium.sources import decode as D
+from scriptorium.sources import feeds as F1
 from scriptorium.sources import files as X
 from scriptorium.sources import harvest as H
 from scriptorium.sources import requests as Q
@@ -54,26 +56,35 @@ def test_decoders():
         D.oai(b'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><error code="badArgument">x</error></OAI-PMH>')
 
 
-class FakeLink:
-    def __init__(self, name, fail_after=None, thin=None):
-        self.name, self.fail_after, self.thin, self.calls = name, fail_after, thin, 0
+def scripted(answers):
+    """A link that gives the answers in turn, each a list of ids and perhaps an error; calls are counted in its list."""
+    calls = []
 
-    def __call__(self, h, seen):
-        self.calls += 1
-        n = min(h.most, self.thin if self.thin is not None else h.most, self.fail_after if self.fail_after is not None else h.most)
-        out = [{"id": f"{self.name}-{h.first}-{i}", "title": f"{self.name} {h.first} {i}"} for i in range(n)]
-        return [x for x in out if seen.admit(x["id"], x["title"])], OSError(f"{self.name} is throttling") if self.fail_after is not None else None
+    def link(asked, seen):
+        ids, error = answers[len(calls)]
+        calls.append(asked)
+        return [{"id": x, "title": x} for x in ids if seen.admit(x, x)], error
+
+    return link, calls
 
 
 def test_router():
-    a, b = FakeLink("a", fail_after=2), FakeLink("b")
-    got, error = H.harvest(Q.Harvest(("k",), first=2025, last=2026, most=6), H.Router([("a", a), ("b", b)]))
-    assert [x["id"] for x in got] == ["a-2026-0", "a-2026-1", "b-2026-0", "b-2025-0", "b-2025-1", "b-2025-2"] and error is None and a.calls == 1
-    a, b = FakeLink("a", thin=1), FakeLink("b")
-    got, error = H.harvest(Q.Harvest(("k",), most=5), H.Router([("a", a), ("b", b)]))
-    assert len(got) == 1 and b.calls == 0 and error is None
-    got, error = H.Router([("a", FakeLink("a", fail_after=1)), ("b", FakeLink("b", fail_after=0))])(Q.Harvest(("k",), most=5), Seen())
-    assert [x["id"] for x in got] == ["a-0-0"] and "a: a is throttling" in str(error) and "b: b is throttling" in str(error)
+    # of six records for two years the first service gives two and fails for good
+    broken, tried = scripted([(["n1", "n2"], OSError("too busy"))])
+    sound, asked = scripted([(["s1"], None), (["t1", "t2", "t3"], None)])
+    got, error = H.harvest(Q.Harvest(("k",), first=2025, last=2026, most=6), H.Router([("one", broken), ("two", sound)]))
+    assert [x["id"] for x in got] == ["n1", "n2", "s1", "t1", "t2", "t3"] and error is None and len(tried) == 1
+    assert [(h.first, h.most) for h in asked] == [(2026, 1), (2025, 3)]
+    # few records are no failure
+    short, _ = scripted([(["n1"], None)])
+    spare, asked = scripted([])
+    got, error = H.harvest(Q.Harvest(("k",), most=5), H.Router([("one", short), ("two", spare)]))
+    assert [x["id"] for x in got] == ["n1"] and not asked and error is None
+    # what two services have in common counts once, and both errors are told
+    left, _ = scripted([(["n1"], OSError("too busy"))])
+    right, asked = scripted([(["n1"], OSError("gone"))])
+    got, error = H.Router([("one", left), ("two", right)])(Q.Harvest(("k",), most=5), Seen())
+    assert [x["id"] for x in got] == ["n1"] and asked[0].most == 4 and all(x in str(error) for x in ("one: too busy", "two: gone"))
 
 
 def test_equal_shares():
@@ -110,6 +121,37 @@ def test_data_source(spark):
     assert got.count() == 4 and got.select(F.countDistinct("id")).first()[0] == 2
 
 
+def test_filters_reach_the_request(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    class Logged(H.PushedHarvestSource):
+        @staticmethod
+        def fetch(url):
+            with open(log, "a") as f:
+                f.write(url + "\n")
+            return feed(3)
+
+        @classmethod
+        def name(cls):
+            return "logged_harvest"
+
+    def asked(*where):
+        open(log, "w").close()
+        df = spark.read.format("logged_harvest").options(keywords="a", most=3, categories="cs,math.CO").load()
+        for w in where:
+            df = df.where(w)
+        n = df.count()
+        return n, [urllib.parse.parse_qs(x.split("?")[1])["search_query"][0] for x in open(log).read().split()]
+
+    H.register(spark)
+    spark.dataSource.register(Logged)
+    assert asked() == (3, ['(cat:cs OR cat:math.CO) AND (all:"a")'])
+    assert asked("published >= '2025-01-02' and published < '2025-06-01'") == (2, ['(cat:cs OR cat:math.CO) AND (all:"a") AND submittedDate:[202501010000 TO 202512312359]'])
+    assert asked("primaryCategory = 'cs.LG'", "published = '2025-01-01'") == (1, ['(cat:cs.LG) AND (all:"a") AND submittedDate:[202501010000 TO 202512312359]'])
+    assert asked("primaryCategory in ('cs.LG', 'stat.ML')", "title <> 'T 0'") == (2, ['(cat:cs.LG) AND (all:"a")'])
+    assert asked("primaryCategory = 'stat.ML'") == (0, []) and asked("published > '2025-01-01'", "published < '2020-01-01'") == (0, [])
+
+
 def test_snapshot(spark, tmp_path):
     line = lambda i, cat, date, title: json.dumps({"id": i, "title": title, "abstract": LONG, "categories": cat, "authors_parsed": [["Doe", "J.", ""]], "versions": [{"version": "v1", "created": date}]})
     lines = [line("2601.00001", "eess.SY", "Mon, 5 Jan 2026 10:00:00 GMT", "jet"), line("2502.00003", "physics.flu-dyn", "bad", "a jet"), "{broken"]
@@ -124,6 +166,54 @@ def test_snapshot(spark, tmp_path):
     assert X.read_papers(spark, str(tmp_path / "p")).count() == 2
 
 
+def test_archives(spark, tmp_path):
+    for name, entries in {"a.zip": {"x.txt": "no", "s.json": "one\ntwo\n"}, "b.zip": {"t.json": "\n".join(map(str, range(2500)))}}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for entry, body in entries.items():
+                z.writestr(entry, body)
+    got = [r.value.rstrip("\n") for r in X.snapshot_lines(spark, f"file://{tmp_path}/*.zip").collect()]
+    assert sorted(got) == sorted(["one", "two", *map(str, range(2500))])
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("x.txt", "no")
+    with pytest.raises(Exception, match="no .json entry"):
+        X.snapshot_lines(spark, str(tmp_path / "c.zip")).collect()
+
+
+def test_matrices(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    made = [(i, [float(i), -0.5 * i]) for i in range(40)]
+    df = spark.createDataFrame(made, "pos bigint, v array<float>").repartition(3)
+    X.save_vectors(df, path)
+    assert sorted(map(tuple, X.load_vectors(spark, path).collect())) == made
+    X.save_vectors(df.where("pos < 5"), path)  # replaces the first, whose parts go
+    assert sorted(map(tuple, X.load_vectors(spark, path).collect())) == made[:5]
+    names = json.loads((tmp_path / "m" / "_matrix.json").read_text())
+    assert {x.name for x in (tmp_path / "m").iterdir() if not x.name.startswith(".")} == {"_matrix.json", *(f"{n['name']}.{e}" for n in names for e in ("bin", "pos"))}
+    for bad in ([(50, [1.0])] + made[:5], [(1, None)]):
+        with pytest.raises(Exception, match="length|nulls"):
+            X.save_vectors(spark.createDataFrame(bad, "pos bigint, v array<float>"), path)
+    assert sorted(map(tuple, X.load_vectors(spark, path).collect())) == made[:5]  # a failed write changes nothing
+    X.write_vectors(str(tmp_path / "one.bin"), np.arange(6).reshape(2, 3))
+    assert [(r.pos, r.v) for r in X.load_vectors(spark, str(tmp_path / "one.bin")).collect()] == [(0, [0, 1, 2]), (1, [3, 4, 5])]
+    with pytest.raises(Exception, match="finished"):
+        X.load_vectors(spark, f"file://{tmp_path}").collect()
+
+
+def test_feeds_equal_the_decoders(spark):
+    odd = feed(2).decode().replace("<title>T 1</title>", "").encode()
+    blank = b'<feed xmlns="http://www.w3.org/2005/Atom"/>'
+    bodies = [feed(3), odd, blank]
+    want = sorted(tuple(r[f.name] for f in D.PAPER) for b in bodies for r in D.atom(b)[0])
+    got = F1.atom_records(spark.createDataFrame([(i, b.decode()) for i, b in enumerate(bodies)], "k int, xml string"))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == want and len(want) == 4
+    lists = [f'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords><record><header status="deleted"/></record><record><header/><metadata><arXiv xmlns="http://arxiv.org/OAI/arXiv/"><id>2407.06437</id><created>2025-01-01</created><title>T &amp; U</title><abstract>{LONG}</abstract><categories>cs.LG cs.CL</categories><authors><author><keyname>Doe</keyname><forenames>J.</forenames></author></authors></arXiv></metadata></record><record><header/><metadata><arXiv xmlns="http://arxiv.org/OAI/arXiv/"><id>hep-th/x</id><created>2025-01-01</created><title>T</title><abstract>{LONG}</abstract><categories>cs.LG</categories></arXiv></metadata></record></ListRecords></OAI-PMH>', '<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><error code="noRecordsMatch"/></OAI-PMH>']
+    want = sorted(tuple(r[f.name] for f in D.PAPER) for b in lists for r in D.oai(b.encode())[0])
+    got = F1.oai_records(spark.createDataFrame([(b,) for b in lists], "xml string"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2
+    with pytest.raises(Exception, match="badArgument"):
+        F1.oai_records(spark.createDataFrame([(lists[1].replace("noRecordsMatch", "badArgument"),)], "xml string")).collect()
+
+
 def test_vectors(spark, tmp_path):
     X.write_vectors(str(tmp_path / "m.bin"), np.arange(6).reshape(2, 3))
     assert [(r.pos, r.v) for r in X.read_vectors(spark, str(tmp_path / "m.bin")).collect()] == [(0, [0, 1, 2]), (1, [3, 4, 5])]

@@ -107,6 +107,8 @@ def test_lists(spark):
     assert one(spark, "one two  three four", lambda c: T.first_words(c, 2)) == "one two…"
     assert one(spark, "Keywords: 'Solar Cells', perovskite; stability\n- interfaces, charge transport, doping", N.parse_keywords) == ["solar cells", "perovskite", "stability", "interfaces", "charge transport"]
     assert one(spark, "a, b", N.parse_keywords) == []
+    assert one(spark, "3d printing, 5g networks\n1. 2d maps\n2) \"Wave.\"\n- * x, last", N.parse_keywords) == ["3d printing", "5g networks", "2d maps", "wave", "* x"]
+    assert one(spark, "a b c d e f g, one, two, ONE, three, topics: four, 'five'", N.parse_keywords) == ["one", "two", "three", "four", "five"]
     made = spark.sql("select map('b', array(1), 'a', array(0, 2)) m").select(N.rebuilt_abstract("m")).first()[0]
     assert made == "a b a"
 
