@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import text as T
+from ..functions.text import APOSTROPHES, BREAKS, MARKUP, SEPARATORS
 from ..operators import analytics as A
 from ..operators import context as C
 from ..operators import graph as G
@@ -13,7 +14,7 @@ from ..operators import index as I
 from ..operators import search as S
 from ..session import stored
 from ..streaming import events as X
-from .base import LANGS, PAPERS, benchmark, counted, fuse_sql, lang_communities, papers, shaped, table, terms_sql, text_edges_sql, words_sql
+from .base import _DROP, LANGS, PAPERS, benchmark, counted, fuse_sql, lang_communities, papers, quoted, shaped, table, terms_sql, text_edges_sql, words_sql
 
 QUERIES, SQL = {}, {}
 _LANG = "[" + ", ".join(f"'{x}'" for x in LANGS) + "]"
@@ -35,14 +36,23 @@ dy AS (SELECT year, count(*) AS docs FROM papers GROUP BY year),
 nc AS (SELECT count(DISTINCT lang) AS c FROM papers WHERE list_contains({_LANG}, lang)),
 sp AS (SELECT term, CASE WHEN k > 1 AND c > 1 THEN (ln(s) - dl / s) / ln(greatest(c, 2)) ELSE 0 END AS specificity FROM (SELECT term, sum(docs) AS s, sum(docs * ln(docs)) AS dl, count(*) AS k FROM tc GROUP BY term), nc),
 spec AS (SELECT term, coalesce(specificity, 0) AS specificity FROM fr LEFT JOIN sp USING (term))"""
-SQL["term_cube"] = f"""{_CUBE} SELECT term, year::BIGINT AS year, NULL::BIGINT AS community, docs, 'year' AS level FROM ty UNION ALL SELECT term, NULL, community::BIGINT, docs, 'community' FROM tc UNION ALL SELECT term, NULL, NULL, total, 'total' FROM fr"""
+#: The same with a row for each token: clauses and tokens numbered, dropped words taken out by an anti-join, pairs joined by number.
+_TOKENS = f"""WITH {PAPERS}, dw AS (SELECT unnest({_DROP}) AS x),
+cl AS (SELECT pos, unnest(c) AS c, generate_subscripts(c, 1) AS ci FROM (SELECT pos, string_split_regex(regexp_replace(regexp_replace(abstract, {quoted(MARKUP)}, ' ', 'g'), {quoted(APOSTROPHES)}, '', 'g'), {quoted(BREAKS)}) AS c FROM papers)),
+tl AS (SELECT pos, ci, list_filter(list_transform(string_split_regex(replace(c, '_', '-'), {quoted(SEPARATORS)}), lambda x: trim(lower(x), '-')), lambda x: x <> '') AS t FROM cl),
+tk AS (SELECT pos, ci, unnest(t) AS x, generate_subscripts(t, 1) AS ti FROM tl),
+kp AS MATERIALIZED (SELECT pos, ci, ti, x FROM tk ANTI JOIN dw USING (x) WHERE strlen(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+')),
+terms AS (SELECT pos, x AS term FROM kp UNION SELECT a.pos, a.x || ' ' || b.x FROM kp a JOIN kp b ON a.pos = b.pos AND a.ci = b.ci AND b.ti = a.ti + 1),
+"""
+_ROWS = _TOKENS + _CUBE[_CUBE.index("dt AS MATERIALIZED") :]
+SQL["term_cube"] = f"""{_ROWS} SELECT term, year::BIGINT AS year, NULL::BIGINT AS community, docs, 'year' AS level FROM ty UNION ALL SELECT term, NULL, community::BIGINT, docs, 'community' FROM tc UNION ALL SELECT term, NULL, NULL, total, 'total' FROM fr"""
 
 
 def specificity(spark, d):
     return shaped(A.specificity(stored(_cells(spark, d), "cells"), lang_communities(spark, d)), "term:string", "specificity:double")
 
 
-SQL["specificity"] = f"{_CUBE} SELECT term, round(specificity, 6) AS specificity FROM spec"
+SQL["specificity"] = f"{_ROWS} SELECT term, round(specificity, 6) AS specificity FROM spec"
 
 
 def _by_year(spark, d):
@@ -59,7 +69,7 @@ def trend_lift(spark, d):
 _TREND = """w AS (SELECT coalesce(sum(docs) FILTER (year <= 2019), 0) AS de, coalesce(sum(docs) FILTER (year > 2019), 0) AS dl FROM dy),
 tr AS (SELECT term, e, l, ((l + 0.5::DOUBLE) / dl) / ((e + 0.5::DOUBLE) / de) AS lift, l / dl AS prevalence FROM (SELECT term, coalesce(sum(docs) FILTER (year <= 2019), 0) AS e, coalesce(sum(docs) FILTER (year > 2019), 0) AS l FROM ty GROUP BY term)
   JOIN spec USING (term), w WHERE de > 0 AND dl > 0 AND round(specificity, 9) <= 0.8)"""
-SQL["trend_lift"] = f"{_CUBE}, {_TREND} SELECT term, e::BIGINT AS early, l::BIGINT AS late, round(lift, 6) AS lift, round(log2(lift), 6) AS log2_lift, round(prevalence, 6) AS prevalence FROM tr"
+SQL["trend_lift"] = f"{_ROWS}, {_TREND} SELECT term, e::BIGINT AS early, l::BIGINT AS late, round(lift, 6) AS lift, round(log2(lift), 6) AS log2_lift, round(prevalence, 6) AS prevalence FROM tr"
 
 
 def trend_rising_declining(spark, d):
