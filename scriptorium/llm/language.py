@@ -5,14 +5,14 @@ size of their profiles' intersection over the geometric mean of the profiles' si
 language give a Nystroem map; ridge regression, one language against the rest, is fitted on FIT texts per
 language in the mapped space. Texts are scored by products of presence matrices with the landmarks'.
 
-The fit takes the least rows by hash of doc_id among those of at most MAX_BYTES bytes whose fold is not
+The fit takes the least different rows by hash of doc_id among those of at most MAX_BYTES bytes whose fold is not
 HELD_OUT; its size is bounded by these parameters and the number of languages. Landmarks have LANDMARK_BYTES
 bytes of text together (or one text a language, if that is more), and are broadcast as sparse n-gram lists of
 at most 12 bytes for each n-gram of a text.
 
 Defined results: texts of any length are read whole; null text or text without a letter is ``und`` with score 0, as is everything when no row
 can be learned from; a null doc_id counts as held in; a null lang is never learned; ties go to the
-language first in order; repeated rows give a row each; an empty table gives an empty result; further
+language first in order; repeated rows give a row each and are learned from once; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -140,11 +140,11 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """The model of the learnable rows of docs."""
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & (F.coalesce(fold("k", folds), F.lit(-1)) != held_out) & F.octet_length("t").between(1, MAX_BYTES) & F.col("t").rlike(r"\p{L}"))
-    # ranks need no texts; those of the few chosen rows are joined to them
+    # ranks need no texts; those of the few chosen rows are joined to them. A row that is repeated is one
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", "h"))
-    chosen = rows.select("k", "l", F.xxhash64("t").alias("h")).withColumn("n", rank).where(F.col("n") <= FIT)
+    chosen = rows.select("k", "l", F.xxhash64("t").alias("h")).distinct().withColumn("n", rank).where(F.col("n") <= FIT)
     chosen = chosen.select(F.col("k").alias("ck"), F.col("l").alias("cl"), F.col("h").alias("ch"), "n")
-    sample = rows.join(F.broadcast(chosen), (F.col("l") == F.col("cl")) & F.col("k").eqNullSafe(F.col("ck")) & (F.xxhash64("t") == F.col("ch"))).select("l", "n", "t")
+    sample = rows.join(F.broadcast(chosen), (F.col("l") == F.col("cl")) & F.col("k").eqNullSafe(F.col("ck")) & (F.xxhash64("t") == F.col("ch"))).groupBy("l", "n").agg(F.min("t").alias("t"))
     # each language has its share of the bytes: the first texts in order that fit, one at least
     size = F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     few = sample.where(F.col("n") <= LANDMARKS).withColumn("size", size)

@@ -37,6 +37,16 @@ def test_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in L.identified(odd.withColumn("lang", L.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_repeated_rows_do_not_unbound_the_fit(spark, monkeypatch):
+    rows = [(1, "the same text over and over", "en")] * 2000 + [(i, f"another text {i}", "en" if i % 2 else "de") for i in range(2, 22)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    sizes = []
+    collect = type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: sizes.append(out := collect(self)) or out)
+    assert L.fitted(frame) is not None
+    assert sizes and max(map(len, sizes)) <= 21
+
+
 def test_kernels_with_short_and_empty_profiles(monkeypatch):
     none = L.Kernels([L.profile("a"), L.profile("b")])
     assert none.of([L.profile("hello"), L.profile("")]).tolist() == [[0, 0], [0, 0]]
