@@ -6,7 +6,7 @@ log2(p(x | t) / p(x)) / -log2 p(x): 1 if the term stands nowhere else. p(x) is t
 p(x | t) = n(t, x) / n(t) of those with t, counted over the whole corpus. A term discloses at MIN_DISCLOSURE or
 more for one of these, if its support is MIN_ENTITIES or more:
 
-* x a kind, t within NEAR words of an entity of it; the support is the number of different entities;
+* x a kind, t among the NEAR terms before or behind an entity of it; the support is the number of different entities;
 * x a kind, t anywhere in the document; the support is the number of different texts;
 * x one entity, t anywhere in the document; the support is the number of different texts.
 
@@ -22,6 +22,7 @@ them, with n_chars, if there is one, counted anew where a text changes).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import Sieve, record_batch, stored, table, text_hash
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, NEAR_CHARS = 4, 128
+NEAR = 4
 MIN_DISCLOSURE, MIN_ENTITIES = 0.8, 5
 REMOVED = "[REMOVED]"
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,30 +82,36 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _placed(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, outside) of all terms of a text, in order; outside: whether it lies outside all entities."""
+    out, at, reached = [], 0, 0
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reached = max(reached, spans[at][2])
+            at += 1
+        out.append((m.start(), m.end(), reached <= m.start()))
+    return out
+
+
 def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, str]]:
-    """(start, end, term, kind, entity) of the terms within NEAR words of an entity and outside all entities."""
+    """(start, end, term, kind, entity) of the terms among the NEAR before and behind an entity, outside all entities.
+
+    Terms are counted one by one, however far they are.
+    """
+    placed = _placed(text, spans)
+    begins, ends = [x[0] for x in placed], [x[1] for x in placed]
     out = set()
     for start, kind, end in spans:
-        lo = max(0, start - NEAR_CHARS)
-        before = list(_TERM.finditer(text, lo, start))
-        if lo and before and before[0].start() == lo and text[lo - 1].isalpha():
-            before = before[1:]  # the term begins further left
-        for m in before[-NEAR:] + list(_TERM.finditer(text, end, min(len(text), end + NEAR_CHARS)))[:NEAR]:
-            if not any(a < m.end() and m.start() < b for a, _, b in spans) and not text[m.end() : m.end() + 1].isalpha():
-                out.add((m.start(), m.end(), m[0].lower(), kind, text[start:end]))
+        before, behind = bisect_right(ends, start), bisect_left(begins, end)
+        for a, b, outside in placed[max(0, before - NEAR) : before] + placed[behind : behind + NEAR]:
+            if outside:
+                out.add((a, b, text[a:b].lower(), kind, text[start:end]))
     return sorted(out)
 
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, term) of the terms outside all entities, in order."""
-    out, at, reached = [], 0, 0
-    for m in _TERM.finditer(text):
-        while at < len(spans) and spans[at][0] < m.end():
-            reached = max(reached, spans[at][2])
-            at += 1
-        if reached <= m.start():
-            out.append((m.start(), m.end(), m[0].lower()))
-    return out
+    return [(a, b, text[a:b].lower()) for a, b, outside in _placed(text, spans) if outside]
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -221,8 +228,9 @@ def _beside(marked: DataFrame, often: Sieve, least: int) -> DataFrame:
                         else:
                             counts[key] = 1
                             texts[key] = {own}
-                if len(counts) > SENT:
-                    yield from sent()
+                    # within a text as well: a long one with many entities has many pairs
+                    if len(counts) > SENT:
+                        yield from sent()
         yield from sent()
 
     rows = _with_entities(marked).mapInArrow(kernel, "term string, kind int, entity bigint, n bigint, hash bigint").repartition("term", "kind", "entity")
@@ -274,7 +282,11 @@ def _added(marked: DataFrame, terms_found: DataFrame) -> DataFrame:
                     if good:
                         places.setdefault(t, []).extend((a, b))
                 what = {(k, 0) for k in kinds} | set(zip(kinds, keys, strict=True))
-                out += [(row, t, k, x, at) for t, at in places.items() for k, x in what]
+                for t, at in places.items():
+                    out += [(row, t, k, x, at) for k, x in what]
+                    if len(out) > SENT:
+                        yield record_batch(schema, [list(x) for x in zip(*out, strict=True)])
+                        out = []
             yield record_batch(schema, [list(x) for x in zip(*out, strict=True)] or [[]] * 5)
 
     rows = _with_entities(marked).mapInArrow(kernel, "_row bigint, term string, kind int, entity bigint, at array<int>")

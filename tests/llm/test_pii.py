@@ -34,6 +34,25 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)]
 
 
+def brute_neighbours(text, spans):
+    """Words counted outwards from each entity, one by one."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+    free = [w for w in words if not any(a < w[1] and w[0] < b for a, _, b in spans)]
+    out = set()
+    for a, kind, b in spans:
+        near = sorted((w for w in words if w[1] <= a), reverse=True)[: P.NEAR] + sorted(w for w in words if w[0] >= b)[: P.NEAR]
+        out |= {(s, e, text[s:e].lower(), kind, text[a:b]) for s, e in near if (s, e) in free}
+    return out
+
+
+def test_neighbours_have_no_limit_of_characters():
+    far = "callme " + "5 " * 80 + "a@b.org"
+    assert [x[2] for x in P.neighbours(far, P.entities(far))] == ["callme"]
+    texts = [far, "a@b.org", "one two three four five a@b.org six, x1@y.org seven eight nine ten eleven +1 (743) 555-3824 end", "é" * 300 + " a@b.org " + "ab " * 200 + "word"]
+    for t in texts:
+        assert set(P.neighbours(t, P.entities(t))) == brute_neighbours(t, brute(t))
+
+
 def brute_terms(rows):
     near, df, kinds = {}, {}, {}
     for i, (_, text) in enumerate(rows):
@@ -42,7 +61,7 @@ def brute_terms(rows):
             df[t] = df.get(t, 0) + 1
         for k in {k for _, k, _ in spans}:
             kinds[k] = kinds.get(k, 0) + 1
-        for _, _, term, kind, entity in P.neighbours(text, spans):
+        for _, _, term, kind, entity in brute_neighbours(text, spans):
             docs, different = near.setdefault((term, kind), (set(), set()))
             docs.add(i)
             different.add(entity)
