@@ -71,6 +71,9 @@ class Pieces:
                     raise ValueError(f"words can't be cut apart for the piece {piece!r}")
                 self.score[plain] = (model.get_score(i), i)
                 self.text.append(plain.encode())
+        self.sizes = np.array([len(x) for x in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         # The two parts that a piece's last merge joins, and when it is made: merges go by score, best first.
         self.parts: dict[str, tuple[str, str]] = {}
@@ -204,9 +207,6 @@ class Pieces:
             admitted.clear()
         made = self.encode_words(list(fresh), admitted)
         for word, ids in made.items():
-            # texts are their words in a row, and so are their pieces' bytes
-            if b"".join(map(self.text.__getitem__, ids)) != word.encode("utf-8", "replace"):
-                raise ValueError(f"the pieces of {word!r} don't give it back")
             known[word] = ids.tobytes()
         out = []
         for words in cut:
@@ -215,6 +215,14 @@ class Pieces:
             out.append(ids)
         return out
 
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        """What the pieces of an array of ids give, the leading space included."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        if not len(ends):
+            return b""
+        return self.all_bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - size), size)].tobytes()
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")[1:]
 
@@ -239,8 +247,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 ids = pieces.encode_cut(cut, known, admitted)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.frombuffer(b"".join([x.tobytes() for x in ids]), np.int32)
-                # each word has been checked; what is left is that the words, which follow each other, make up the text
-                same = [sum(map(len, words)) == len(t) + 1 if t else True for t, words in zip(texts, cut, strict=True)]
+                # the ids of each text are decoded, and give the text with its leading space
+                same = [pieces.decoded_bytes(flat[a:b]) == f" {t}".encode("utf-8", "replace") if t else a == b for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield record_batch(schema, [part.column("doc_id"), np.diff(ends), same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

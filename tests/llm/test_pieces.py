@@ -64,3 +64,18 @@ def test_round_trip_of_odd_rows(spark, odd, empty, vocabulary):
     assert P.encoded(empty).count() == 0
     sign = spark.createDataFrame([(1, "a ▁b")], "doc_id bigint, text string")
     assert P.encoded(sign).first().round_trip
+
+
+def test_round_trip_decodes_the_ids(spark, vocabulary, monkeypatch):
+    import numpy as np
+
+    texts = ["a wide  \n world", "▁é🦊\x00", "", None, "x" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in P.encoded(rows).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].round_trip and vocabulary.decoded_bytes(np.array(got[i].ids, np.int64))[1:].decode() == (t or "")
+    right = P.Pieces.encode_words
+    # an encoder that gives other pieces is found out: its ids aren't what words say
+    monkeypatch.setattr(P.Pieces, "encode_words", lambda self, words, admitted=None: {w: (x if w != " world" else right(self, [" word"])[" word"]) for w, x in right(self, words, admitted).items()})
+    wrong = vocabulary.encode(["a wide world"])[0]
+    assert vocabulary.decoded_bytes(np.array(wrong, np.int64)) != b" a wide world"
