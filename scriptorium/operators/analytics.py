@@ -105,3 +105,26 @@ def bursts(by_year: DataFrame, totals: DataFrame) -> DataFrame:
     back = lambda a, x: F.struct(F.when(a["state"] == 1, x["f1"]).otherwise(x["f0"]).alias("state"), (a["sum"] + F.when(a["state"] == 1, x["gain"]).otherwise(0.0)).alias("sum"))
     weight = F.aggregate(F.reverse("f.way"), F.struct(last.alias("state"), F.lit(0.0).alias("sum")), back, lambda a: F.greatest(a["sum"], F.lit(0.0)))
     return walked.select("term", weight.alias("burst"))
+
+
+REPORTED, BURSTS, GAPS = 7, 5, 5
+
+
+def report(found: DataFrame, burst: DataFrame, gap_pairs: DataFrame) -> DataFrame:
+    """(section, rank, label, value): what an analysis tells: the strongest rises and falls, bursts and gaps.
+
+    found is of trends(), which has left unspecific terms out, burst(term, burst) of all terms, and
+    gap_pairs(a, b, z, similarity). Falls are the end of the list of rises, whether or not a term fell;
+    gaps are pairs with fewer links than chance has, the most similar first. Values are rounded to six
+    places before they are ranked.
+    """
+    rises = found.select("term", F.round("lift", 6).alias("lift"), F.round("log2_lift", 6).alias("value"))
+    weights = burst.select("term", F.round("burst", 6).alias("value")).join(rises.select("term", "lift"), "term")
+    pairs = gap_pairs.where("z < -2").select(F.concat_ws(" <-> ", F.col("a").cast("string"), F.col("b").cast("string")).alias("term"), "a", "b", F.round("similarity", 6).alias("value"))
+    parts = [("rising", rises, [F.desc("lift"), "term"], REPORTED), ("declining", rises, ["lift", F.desc("term")], REPORTED), ("burst", weights, [F.desc("value"), F.desc("lift"), "term"], BURSTS), ("gap", pairs, [F.desc("value"), "a", "b"], GAPS)]
+    out = None
+    for name, rows, order, most in parts:
+        first = rows.orderBy(*order).limit(most)
+        ranked = first.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.col("term").alias("label"), "value")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

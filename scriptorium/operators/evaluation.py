@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered, quantile_range, ranges_for
+
 from .index import TfIdf
 from .search import tfidf_search
 
@@ -82,7 +84,8 @@ def paired_bootstrap(pairs: DataFrame, rounds: int = 5000) -> DataFrame:
     negative one counts as significant.
     """
     spark = pairs.sparkSession
-    number = pairs.select((F.row_number().over(Window.orderBy("i")) - 1).alias("k"), (F.col("b") - F.col("a")).alias("d"))
+    ranged = quantile_range(pairs, "i", ranges_for(pairs.count()))
+    number = numbered(pairs.select("i", (F.col("b") - F.col("a")).alias("d")), "k", [], ranged, ["i"]).select((F.col("k") - 1).alias("k"), "d")
     whole = pairs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("b") - F.col("a")), F.lit(0.0)).alias("diff"))
     draws = spark.range(rounds).select(F.col("id").alias("r")).crossJoin(F.broadcast(whole.select("n")))
     draws = draws.where("n > 0").select("r", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).select("r", (hash48(F.col("r"), F.col("j")) % F.col("n")).alias("k"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .index import TfIdf
+from .ranks import numbered, quantile_range, ranges_for
 from .search import adjacency
 
 K = 8
@@ -257,8 +258,11 @@ def gaps(communities: DataFrame, edges: DataFrame, cosine: DataFrame, permutatio
     inner = edges.select("a", "b").join(members.select(F.col("pos").alias("a")), "a", "left_semi").join(members.select(F.col("pos").alias("b")), "b", "left_semi")
     perms = spark.range(permutations).select(F.col("id").alias("p"))
     keyed = members.crossJoin(F.broadcast(perms)).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("p").cast("string"))), 1, 12), 16, 10).cast("bigint"))
-    place = keyed.select("p", "pos", F.row_number().over(Window.partitionBy("p").orderBy("h", "pos")).alias("i"))
-    label = members.select("community", F.row_number().over(Window.orderBy("pos")).alias("i"))
+    # the hash is spread evenly, so its first bits are ranges of its order
+    count = members.count()
+    bits = (ranges_for(count) - 1).bit_length()
+    place = numbered(keyed, "i", ["p"], F.shiftright("h", 48 - bits), ["h", "pos"]).select("p", "pos", "i")
+    label = numbered(members, "i", [], quantile_range(members, "pos", ranges_for(count)), ["pos"]).select("community", "i")
     shuffled = place.join(label, "i").select("p", "pos", "community")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     one = shuffled.select("p", F.col("pos").alias("a"), F.col("community").alias("ca"))

@@ -19,14 +19,17 @@ MAX_N, MIN_DF = 2, 2
 
 
 def spread(rows: DataFrame, key: str = "pos") -> DataFrame:
-    """rows dealt by their key over all cores and shuffle partitions.
+    """rows dealt by their key over all cores and shuffle partitions, if they come in fewer parts than there are cores.
 
     A file of one row group is one task otherwise; and what is then counted by key and term stays where it
-    is, so the text moves once and its terms do not.
+    is, so the text moves once and its terms do not. Rows that come in enough parts stay where they lie:
+    their terms are summed up there, and the text doesn't move at all.
     """
     spark = rows.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, key)
+    cores = spark.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:  # plans the scan, and runs nothing
+        return rows
+    return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def gram_rows(rows: DataFrame, keys: list[str], text: str, most: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.normalize import contains_word, in_categories, slug
 from ..session import cut_lineage
+from .ranks import numbered, quantile_range, ranges_for
 
 MAX_CATEGORIES, MIN_SHARE = 8, 0.05
 
@@ -134,14 +135,18 @@ def add_records(papers: DataFrame, fresh: DataFrame) -> DataFrame:
 def without_weakest(papers: DataFrame, degrees: DataFrame, share: float = 0.1) -> DataFrame:
     """papers without that share of documents of the lowest degree, earlier ones first among equals.
 
-    Ranks come from range-partitioned counts by degree, not from one sorted task: whole degrees below the
-    cut go, and of the degree at the cut the earliest.
+    Degrees are counted, and whole ones below the cut go; of the degree at the cut the earliest, numbered in
+    ranges of pos.
     """
     n = papers.agg(F.floor(F.count("*") * share).alias("drop"))
     sizes = degrees.groupBy("degree").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.sum("c").over(Window.orderBy("degree")) - F.col("c"))
-    ranked = degrees.withColumn("i", F.row_number().over(Window.partitionBy("degree").orderBy("pos"))).join(F.broadcast(before), "degree")
-    weak = ranked.join(F.broadcast(n)).where(F.col("before") + F.col("i") <= F.col("drop")).select("pos")
+    cut = sizes.withColumn("before", F.sum("c").over(Window.orderBy("degree")) - F.col("c")).join(F.broadcast(n)).where("before < drop").select("degree", "before", "c", "drop")
+    whole, at = cut.where("before + c <= drop"), cut.where("before + c > drop").first()
+    weak = degrees.join(whole.select("degree"), "degree", "left_semi").select("pos")
+    if at is not None:  # one degree
+        edge = degrees.where(F.col("degree") == at.degree).select("pos")
+        first = numbered(edge, "i", [], quantile_range(edge, "pos", ranges_for(at.c)), ["pos"]).where(F.col("i") <= at["drop"] - at.before)
+        weak = weak.unionByName(first.select("pos"))
     return papers.join(weak, "pos", "left_anti")
 
 

@@ -76,7 +76,7 @@ SQL["oneway_arcs"] = f"{_DENSE} SELECT src, dst, w FROM arcs WHERE (dst, src) NO
 
 
 def coauthor_edges(spark, d):
-    """Orders that share a part, parts in over 60 lines left out."""
+    """Parts that share an order, orders of over 60 lines left out."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("member"), F.col("l_partkey").alias("pos"))
     return shaped(G.shared_membership(rows), "a:bigint", "b:bigint")
 

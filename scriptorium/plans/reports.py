@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import text as T
+from ..operators import analytics as A
 from ..operators import context as C
+from ..operators import embed as M
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import index as I
@@ -20,7 +22,7 @@ from ..session import stored
 from ..streaming import events as X
 from . import graph, trends
 from . import search as ranked
-from .base import BM25, DENSE_EDGES, PAPERS, WS, benchmark, lang_communities, papers, query_sql, shaped, slug_sql, squash_sql, table, terms_sql, text_edges_sql, tfidf_sql, top_sql, vectors, words_sql
+from .base import BM25, DENSE_EDGES, PAPERS, WS, benchmark, label_communities, lang_communities, papers, query_sql, shaped, slug_sql, squash_sql, table, terms_sql, text_edges_sql, tfidf_sql, top_sql, vectors, words_sql
 
 QUERIES, SQL = {}, {}
 
@@ -106,7 +108,7 @@ SQL["ladder_table"] = f"""{_ALL}, ln AS (SELECT pos, count(*) AS len FROM uni GR
 t0_s AS (SELECT q, pos, hits + 1 / (1 + greatest(len, 1) / 1000) AS s FROM ht JOIN ln USING (pos)), {top_sql("t0_r", "t0_s", 10)}
 {" UNION ALL ".join(_TIER.format(t, r) for t, r in (("T0", "t0_r"), ("T1", "tf_r"), ("T2", "tf_r"), ("T3", "dn_r")))}"""
 
-_CONFIGS = ("flat tfidf", "flat hybrid", "hybrid + 1 hop", "hybrid + 2 hops")
+_CONFIGS = ("flat tfidf", "flat hybrid", "hybrid + 1 hop", "hybrid + 2 hops", "dense")
 
 
 def context_coverage(spark, d):
@@ -117,7 +119,9 @@ def context_coverage(spark, d):
     enough = gold.groupBy("q").agg(F.count("*").alias("golds")).where("golds >= 3")
     queries = asked.join(enough, "q", "left_semi").select("q", "text")
     flat, hybrid = stored(engine.search("tfidf", queries, 50), "flat"), stored(engine.search("hybrid", queries, 50), "hybrid")
-    scores = [C.hop_scores(flat, None, 0), C.hop_scores(hybrid, None, 0), C.hop_scores(hybrid, engine.edges, 1), C.hop_scores(hybrid, engine.edges, 2)]
+    coded = stored(M.embedded(corpus, M.HashedProjection(ranked.DIMS), "pos", "abstract"), "coded")
+    dense = stored(S.dense_search(coded, coded.join(queries.select(F.col("q").alias("pos")), "pos", "left_semi").select(F.col("pos").alias("q"), "v"), 50), "dense")
+    scores = [C.hop_scores(flat, None, 0), C.hop_scores(hybrid, None, 0), C.hop_scores(hybrid, engine.edges, 1), C.hop_scores(hybrid, engine.edges, 2), C.hop_scores(dense, None, 0)]
     keyed = _joined([s.withColumn("q", F.col("q") * 10 + i) for i, s in enumerate(scores)])
     counted = I.spread(corpus.select("pos", "abstract")).select("pos", T.word_count("abstract").alias("words"))
     held = C.assemble(keyed, counted).select(F.floor(F.col("q") / 10).alias("q"), (F.col("q") % 10).alias("c"), "pos")
@@ -135,13 +139,18 @@ p1 AS (SELECT q, dst AS pos, round(max(s) * 0.9::DOUBLE, 12) AS g FROM ow JOIN a
 s1 AS MATERIALIZED (SELECT q, pos, CASE WHEN g > coalesce(s, 0) THEN g ELSE s END AS s, coalesce(g > coalesce(s, 0), false) AS fresh FROM ow FULL JOIN p1 USING (q, pos)),
 p2 AS (SELECT q, dst AS pos, round(max(s) * 0.9::DOUBLE, 12) AS g FROM s1 JOIN ad ON src = pos WHERE fresh GROUP BY q, dst),
 s2 AS (SELECT q, pos, CASE WHEN g > coalesce(s, 0) THEN g ELSE s END AS s FROM (SELECT q, pos, s FROM s1) FULL JOIN p2 USING (q, pos)),
-sc AS MATERIALIZED (SELECT q * 10 AS q, pos, round(1 / (60 + rank), 12) AS s, false AS via FROM tf_r WHERE rank <= 50 UNION ALL SELECT q * 10 + 1, pos, s, false FROM ow UNION ALL SELECT q * 10 + 2, pos, s, false FROM s1 UNION ALL SELECT q * 10 + 3, pos, s, false FROM s2)"""
+sc AS MATERIALIZED (SELECT q * 10 AS q, pos, round(1 / (60 + rank), 12) AS s, false AS via FROM tf_r WHERE rank <= 50 UNION ALL SELECT q * 10 + 1, pos, s, false FROM ow UNION ALL SELECT q * 10 + 2, pos, s, false FROM s1 UNION ALL SELECT q * 10 + 3, pos, s, false FROM s2 UNION ALL SELECT q * 10 + 4, pos, round(1 / (60 + rank), 12), false FROM de_r)"""
+_CODED = f"""dtk AS (SELECT id, md5(lower(t)) AS h, count(*) AS n FROM (SELECT pos AS id, unnest(regexp_extract_all(abstract, '[A-Za-z0-9]+')) AS t FROM papers) GROUP BY ALL),
+dco AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % {ranked.DIMS} AS i, sum(n * (1 - 2 * (('0x' || substr(h, 9, 2))::BIGINT % 2))) AS x FROM dtk GROUP BY ALL),
+dun AS MATERIALIZED (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM dco WHERE x <> 0),
+dme AS (SELECT a.id AS q, b.id AS pos, sum(a.x * b.x) AS s FROM dun a JOIN en ON en.q = a.id JOIN dun b USING (i) GROUP BY ALL),
+dsc AS (SELECT e.q, p.pos, coalesce(s, 0) AS s FROM en e CROSS JOIN papers p LEFT JOIN dme m ON m.q = e.q AND m.pos = p.pos), {top_sql("de_r", "dsc", 50, False)}"""
 SQL["context_coverage"] = f"""WITH RECURSIVE {PAPERS}, gold AS MATERIALIZED ({ranked.SQL["gold_set"]}), en AS MATERIALIZED (SELECT q, count(*) AS golds FROM gold GROUP BY q HAVING count(*) >= 3),
-{trends.fuse_sql(250, 50).replace(_BENCH, _ASKED)}, {text_edges_sql()}, {trends._fold_sql(_HOPS)},
+{trends.fuse_sql(250, 50).replace(_BENCH, _ASKED)}, {text_edges_sql()}, {_CODED}, {trends._fold_sql(_HOPS)},
 e AS (SELECT c.q // 10 AS q, c.q % 10 AS c, count(g.pos) AS hits, count(DISTINCT coalesce(list_position({graph._LANG}, lang), 0)) AS communities, count(*) AS docs
   FROM ctx c JOIN papers USING (pos) LEFT JOIN gold g ON g.q = c.q // 10 AND g.pos = c.pos GROUP BY ALL)
 SELECT ({list(_CONFIGS)})[en_c.c + 1] AS config, round(avg(coalesce(hits, 0) / golds), 6) AS coverage, round(avg(coalesce(communities, 0)), 6) AS communities, round(avg(coalesce(docs, 0)), 6) AS docs
-FROM (SELECT q, golds, unnest(range(4)) AS c FROM en) en_c LEFT JOIN e ON e.q = en_c.q AND e.c = en_c.c GROUP BY en_c.c"""
+FROM (SELECT q, golds, unnest(range(5)) AS c FROM en) en_c LEFT JOIN e ON e.q = en_c.q AND e.c = en_c.c GROUP BY en_c.c"""
 
 
 def overview_text(spark, d):
@@ -288,5 +297,21 @@ def distinct_users(spark, d):
 
 SQL["distinct_users"] = "SELECT DISTINCT user_id FROM events"
 
-for _f in (retrieval_table, ladder_table, context_coverage, overview_text, concept_nodes, appears_in_edges, concept_pages, pagerank_nodes, label_search, input_modes, parsed_keywords, exact_sample, unit_vectors, distinct_users):
+def analysis_report(spark, d):
+    """Rises, falls and bursts of terms between the halves of the years, and gaps between the vectors' communities."""
+    cells, years, totals = trends._by_year(spark, d)
+    found = A.trends(years, totals, (2013, 2019), (2020, 2026), A.specificity(cells, lang_communities(spark, d)))
+    _, gap_pairs = graph._gaps(spark, d, label_communities(spark, d))
+    return shaped(A.report(stored(found, "trends"), A.bursts(years, totals), gap_pairs), "section:string", "rank:bigint", "label:string", "value:double")
+
+
+SQL["analysis_report"] = f"""WITH tl AS MATERIALIZED ({trends.SQL['trend_lift']}), bt AS MATERIALIZED ({trends.SQL['burst_terms']}), gp AS MATERIALIZED ({graph.SQL['gap_zscores']}),
+x AS (SELECT 'rising' AS section, row_number() OVER (ORDER BY lift DESC, term) AS rank, term AS label, log2_lift AS value, 7 AS most FROM tl
+  UNION ALL SELECT 'declining', row_number() OVER (ORDER BY lift, term DESC), term, log2_lift, 7 FROM tl
+  UNION ALL SELECT 'burst', row_number() OVER (ORDER BY burst DESC, lift DESC, term), term, burst, 5 FROM bt JOIN tl USING (term)
+  UNION ALL SELECT 'gap', row_number() OVER (ORDER BY similarity DESC, a, b), a || ' <-> ' || b, similarity, 5 FROM gp WHERE z < -2)
+SELECT section, rank, label, value FROM x WHERE rank <= most"""
+
+
+for _f in (analysis_report, retrieval_table, ladder_table, context_coverage, overview_text, concept_nodes, appears_in_edges, concept_pages, pagerank_nodes, label_search, input_modes, parsed_keywords, exact_sample, unit_vectors, distinct_users):
     QUERIES[_f.__name__] = _f

@@ -110,6 +110,17 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether save() has finished there: its last step leaves a mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """What save() has written; null if nothing is finished there."""
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
 def projects(spark: SparkSession, pattern: str) -> DataFrame:
     """(name, created_at, path) of the projects' meta.json files, newest first."""
     schema = "name string, createdAt timestamp"

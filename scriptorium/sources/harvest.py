@@ -225,8 +225,9 @@ class HarvestReader(DataSourceReader):
             return [Span(Q.replace(self.asked, most=0))]
         words = Q.nonblank(self.asked.keywords) or [None]
         share = math.ceil(self.asked.most / len(words))
-        if self.asked.source == "oai":
-            return [Span(Q.replace(self.asked, categories=(c,))) for c in self.asked.categories]
+        if self.asked.source == "oai":  # a partition a set, however many categories name it, with equal shares
+            sets = {Q.oai_set(c): c for c in reversed(Q.nonblank(self.asked.categories))}
+            return [Span(Q.replace(self.asked, categories=(c,), most=math.ceil(self.asked.most / len(sets)))) for c in sets.values()]
         return [Span(self.asked.span(w, None, share)) for w in words]
 
     def read(self, partition: Span):

@@ -173,3 +173,51 @@ def test_categories_and_subtract(spark):
     assert [(r.category, r.weight) for r in R.infer_categories(votes).orderBy("rank").collect()] == [("cs.LG", 1.5), ("cs.CL", 0.5)]
     nodes = spark.range(20).withColumnRenamed("id", "pos")
     assert {r.pos for r in R.without_weakest(nodes, nodes.withColumn("degree", F.col("pos") % 10)).collect()} == set(range(20)) - {0, 10}
+
+
+def test_numbers_by_ranges(spark, monkeypatch):
+    from scriptorium.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS", 7)
+    rows = spark.createDataFrame([(i % 3, (i * 37) % 100) for i in range(100)], "g int, x bigint").repartition(5)
+    for groups in ([], ["g"]):
+        part = ranks.quantile_range(rows, "x", ranks.ranges_for(100))
+        got = ranks.numbered(rows, "i", groups, part, ["x"]).collect()
+        seen = {}
+        for r in sorted(got, key=lambda r: r.x):
+            key = r.g if groups else 0
+            seen[key] = seen.get(key, 0) + 1
+            assert r.i == seen[key]
+    assert ranks.ranges_for(100) == 15 and ranks.quantile_range(rows.where("false"), "x", 9) is not None
+    degrees = spark.range(60).selectExpr("id AS pos", "id % 2 AS degree")
+    assert {r.pos for r in R.without_weakest(degrees, degrees, 0.3).collect()} == set(range(60)) - set(range(0, 36, 2))
+    assert {r.pos for r in R.without_weakest(degrees, degrees, 0.6).collect()} == set(range(60)) - set(range(0, 60, 2)) - {1, 3, 5, 7, 9, 11}
+
+
+def test_report_ends_with_falls_that_are_none(spark):
+    found = spark.createDataFrame([(f"t{i}", 0, 1, 1.0 + i / 10, i / 10, 0.1) for i in range(9)], "term string, early bigint, late bigint, lift double, log2_lift double, prevalence double")
+    burst = spark.createDataFrame([("t1", 2.0), ("t2", 2.0), ("gone", 9.0), ("t3", 0.0)], "term string, burst double")
+    pairs = spark.createDataFrame([(0, 1, -3.0, 0.5), (0, 2, -1.0, 0.9), (1, 2, -2.5, 0.5)], "a int, b int, z double, similarity double")
+    got = {}
+    for r in A.report(found, burst, pairs).orderBy("section", "rank").collect():
+        got.setdefault(r.section, []).append(r.label)
+    assert got == {"rising": [f"t{i}" for i in range(8, 1, -1)], "declining": [f"t{i}" for i in range(7)], "burst": ["t2", "t1", "t3"], "gap": ["0 <-> 1", "1 <-> 2"]}
+
+
+def test_sweep_over_sizes(spark):
+    from scriptorium.operators import scaling
+    from scriptorium.session import stored
+
+    words = "graph neural model query index rank solar wind cell light".split()
+    texts = [f"{words[i % 10]} {words[(i * 3) % 10]} {words[(i // 2) % 10]} {words[(i * 7) % 10]}" for i in range(40)]
+    papers = corpus(spark, texts).withColumn("year", (2020 + F.col("pos") % 3).cast("int"))
+    ticks = iter(range(1, 100))
+
+    def clock(run):
+        return stored(run(), "stage"), float(next(ticks))
+
+    got = scaling.sweep(papers, [20, 40, 99], clock=clock).orderBy("n").collect()
+    assert [(r.n, r.index_s, r.total_s) for r in got] == [(20, 1.0, 15.0), (40, 6.0, 40.0)] and all(r.edge_recall == 1 for r in got)
+    made = spark.createDataFrame([(10, *[float(10**2)] * 5, 1.0, 1.0), (100, *[float(100**2)] * 5, 1.0, 1.0)], scaling.FORM)
+    slopes = {r.stage: round(r.slope, 6) for r in scaling.exponents(made).collect()}
+    assert slopes == {"index": 2, "exact": 2, "pruned": 2, "communities": 2, "trends": 2, "total": 0}

@@ -238,3 +238,22 @@ def test_streams(spark, tmp_path):
     q = V.daily_counts(stream).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.event_type, r.n, r.total) for r in spark.table("days").collect()] == [("a", 2, 5.0)]
+
+
+def test_artefacts(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    assert X.load(spark, path) is None
+    X.save(spark.range(3), path)
+    X.save(spark.range(5), path)
+    assert X.exists(spark, path) and X.load(spark, path).count() == 5
+    (tmp_path / "a" / "_SUCCESS").unlink()
+    assert X.load(spark, path) is None
+    for name, day in (("one", "2024-01-02"), ("two", "2024-03-01")):
+        (tmp_path / "p" / name).mkdir(parents=True)
+        (tmp_path / "p" / name / "meta.json").write_text(json.dumps({"name": name, "createdAt": f"{day}T00:00:00Z"}))
+    assert [r.name for r in X.projects(spark, f"file://{tmp_path}/p/*/meta.json").collect()] == ["two", "one"]
+
+
+def test_oai_sets_have_equal_shares():
+    reader = H.HarvestReader(Q.Harvest(categories=("cs.LG", "stat", "cs.LG", " "), most=7, source="oai"), None)
+    assert sorted((p.span.categories, p.span.most) for p in reader.partitions()) == [(("cs.LG",), 4), (("stat",), 4)]
