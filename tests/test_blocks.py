@@ -98,3 +98,28 @@ def test_matches_that_round_to_nothing_are_searched(spark):
     queries = spark.createDataFrame([(1, "every"), (2, "every every every every every every")], "q bigint, text string")
     want = {r.q for r in S.bm25_search(index, queries, 1).collect()}
     assert {r.q for r in S.bm25_matched(index, queries).collect()} == want
+
+
+def test_candidates_are_not_rows(spark):
+    papers = corpus(spark, 600)
+    before = sent(spark)
+    assert G.pruned_arcs(I.build_tfidf(papers, counts=I.term_table(papers))).count() == 600 * 8
+    assert sent(spark) - before < 600 * 400 / 4  # each document has 400 candidates
+
+
+def test_candidates_come_in_order_of_rare_terms(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 9)
+    held = vectors(80, 5)
+    df = {t: sum(t in v for v in held.values()) for v in held.values() for t in v}
+    index = I.TfIdf(frame(spark, held, "pos"), spark.createDataFrame(list(df.items()), "term string, df bigint"), None)
+    for probes, candidates in ((3, 4), (2, 30), (24, 400)):
+        want = set()
+        for x, v in held.items():
+            heavy = sorted(v, key=lambda t: (-v[t], t))[:probes]
+            met = {}
+            for t in sorted(heavy, key=lambda t: (df[t], t)):
+                for y in sorted(held):
+                    if y != x and t in held[y]:
+                        met.setdefault(y, len(met))
+            want |= best({x: v}, {y: held[y] for y in list(met)[:candidates]}, 3)
+        assert {(r.src, r.dst, r.w) for r in G.pruned_arcs(index, 3, probes, candidates).collect()} == want
