@@ -179,7 +179,7 @@ def _concepts(spark, d):
     communities = lang_communities(spark, d)
     nodes = stored(V.snapshot_nodes(papers(spark, d), graph._ranked(spark, d)), "nodes")
     members = V.concept_members(nodes.select("pos", F.col("pos").alias("ord")), communities)
-    terms = G.top_terms(G.centroids(graph._tfidf(spark, d), communities))
+    terms = graph._top(spark, d)
     return nodes, members, stored(V.concept_nodes(nodes, terms, members), "concepts")
 
 
@@ -239,7 +239,9 @@ SQL["label_search"] = "SELECT p_partkey, p_name AS label FROM part WHERE contain
 def input_modes(spark, d):
     """Texts, their first words and lists of their words as they might be typed in."""
     corpus = papers(spark, d)
-    typed = _joined([corpus.select("pos", F.lit(k).alias("kind"), c.alias("t")) for k, c in (("text", F.col("abstract")), ("title", F.col("title")), ("list", F.array_join(F.slice(T.words("abstract"), 1, 6), ", ")), ("half", F.concat_ws(",", F.lit(" "), "title")))])
+    head = F.regexp_extract("abstract", T.FIRST_WORDS.format(6), 0)
+    kinds = (("text", F.col("abstract")), ("title", F.col("title")), ("list", F.array_join(T.words(head), ", ")), ("half", F.concat_ws(",", F.lit(" "), "title")))
+    typed = corpus.select("pos", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("t")) for k, c in kinds])).alias("k")).select("pos", "k.*")
     return shaped(typed.select("pos", "kind", N.input_mode("t").alias("m")).select("pos", "kind", "m.*"), "pos:bigint", "kind:string", "mode:string", "valid:boolean", "counter:string")
 
 
