@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
 from .index import gram_rows, spread
+from .packs import mark_counts, names_of, packs
 
 MAX_SPECIFICITY = 0.80
 
@@ -22,6 +24,26 @@ def cube(papers: DataFrame, communities: DataFrame, least: int | None = None, ma
     cells = rows.groupBy("term", "year", "community").agg(F.count("*").alias("docs"))
     floor = F.lit(least) if least is not None else F.greatest(F.lit(5), F.floor(F.col("n") / 500))
     cells = cells.withColumn("total", F.sum("docs").over(Window.partitionBy("term"))).join(F.broadcast(papers.agg(F.count("*").alias("n")))).where(F.col("total") >= floor)
+    return _levels(cells)
+
+
+def packed_cube(papers: DataFrame, communities: int) -> DataFrame:
+    """cube() of papers(pos, year, abstract, mark), marks as so many communities or -1, with the usual least number of documents.
+
+    Terms that are too rare leave where they are counted; the others are read again in some documents that have them.
+    """
+    n = papers.count()
+    width = communities + 1
+    marked = papers.select("pos", "abstract", (F.col("year") * width + F.col("mark") + 1).cast("int").alias("mark"))
+    found = stored(mark_counts(packs(marked, least=max(5, n // 500), rare=False, named=True)), "cells")
+    kept = found.groupBy("term").agg(F.min("at").alias("at"))
+    names = names_of(papers, kept).join(kept.select(F.col("term").alias("hash")), "hash", "left_semi")
+    cells = found.withColumnRenamed("term", "hash").join(names, "hash")
+    return _levels(cells.select("term", F.floor(F.col("mark") / width).cast("int").alias("year"), (F.pmod("mark", F.lit(width)) - 1).cast("int").alias("community"), "docs"))
+
+
+def _levels(cells: DataFrame) -> DataFrame:
+    """The cube of cells(term, year, community, docs)."""
     grouped = cells.groupingSets([["term", "year"], ["term", "community"], ["term"]], "term", "year", "community").agg(F.sum("docs").alias("docs"), F.grouping_id().alias("g"))
     # bits of grouping_id: term, year, community; 1 if summed over
     level = F.when(F.col("g") == 1, "year").when(F.col("g") == 2, "community").otherwise("total")
