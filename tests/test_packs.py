@@ -69,10 +69,36 @@ def test_character_windows(spark):
     assert row.tolist() == [1, 1, 2, 2] and hashes[1] == hashes[2] and len(np.unique(hashes)) == 3 and many.tolist() == [0, 2, 2]
 
 
-@pytest.mark.parametrize("name", ["hybrid_graph_expand", "context_via_graph", "gold_set", "ladder", "context_coverage", "retrieval_table"])
+@pytest.mark.parametrize("name", ["hybrid_graph_expand", "context_via_graph", "gold_set", "ladder", "context_coverage", "retrieval_table", "context_budget", "centroid_cosine", "display_labels", "concept_nodes", "trend_lift"])
 def test_postings_are_not_rows(spark, name):
     """Each posting was a row of two shuffles or more."""
     postings = sum(len(set(r.t)) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select(T.terms("text", 2).alias("t")).collect())
     before = sent(spark)
     catalogue.QUERIES[name](spark, FOLDER).collect()
     assert sent(spark) - before < postings / 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_counted_before_they_are_rows(spark):
+    assert "Generate" not in plan_of(catalogue.QUERIES["char4_gram_counts"](spark, FOLDER))
+
+
+def test_typed_texts_are_read_once(spark):
+    """Each of four kinds was a scan of all texts."""
+    assert plan_of(catalogue.QUERIES["input_modes"](spark, FOLDER)).count("FileScan parquet") == 1
+
+
+def test_dense_arcs_are_made_once(spark):
+    """Readers that join the arcs with themselves went through all pairs again."""
+    rng = random.Random(4)
+    held = {i: [rng.gauss(0, 1) for _ in range(8)] for i in range(300)}
+    arcs = G.dense_arcs(spark.createDataFrame(list(held.items()), "pos bigint, v array<double>"), 3)
+    want = set()
+    for i, v in held.items():
+        near = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)), 6), j) for j, w in held.items() if j != i)[:3]
+        want |= {(i, j, -s) for s, j in near if s < 0}
+    assert {tuple(r) for r in arcs.select("src", "dst", "w").collect()} == want
+    assert "ExistingRDD" not in plan_of(G.one_way_arcs(arcs)) and arcs.inputFiles()
