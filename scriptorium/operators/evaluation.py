@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import numbered, quantile_range, ranges_for
-
 from .index import TfIdf
 from .search import tfidf_search
 
 
+#: Draws of a round that are made at once.
+DRAWN = 1 << 16
+
+
 def hash48(*parts: Column) -> Column:
     """The first 48 bits of the MD5 of the parts joined by colons: the same in any SQL engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("bigint")
@@ -88,22 +95,55 @@ def paired_bootstrap(pairs: DataFrame, rounds: int = 5000) -> DataFrame:
     """One row (n, diff, lo, hi, significant) over pairs(i, a, b): resampled mean differences b - a.
 
     In round r the j-th draw is the row number hash48(r, j) mod n. The rounds are rows, so they run in
-    parallel; bounds are the sorted means at .025 and .975 of the rounds. A bound of exactly 0 above a
-    negative one counts as significant.
+    parallel, and a draw never becomes one: a task holds all differences, eight bytes each, and a round's draws.
+    Bounds are the sorted means at .025 and .975 of the rounds. A bound of exactly 0 above a negative one
+    counts as significant.
     """
     spark = pairs.sparkSession
-    ranged = quantile_range(pairs, "i", ranges_for(pairs.count()))
-    number = numbered(pairs.select("i", (F.col("b") - F.col("a")).alias("d")), "k", [], ranged, ["i"]).select((F.col("k") - 1).alias("k"), "d")
+    # one row each
+    packed = pairs.select("i", (F.col("b") - F.col("a")).cast("double").alias("d")).groupBy().applyInArrow(_differences, "d binary")
     whole = pairs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("b") - F.col("a")), F.lit(0.0)).alias("diff"))
-    draws = spark.range(rounds).select(F.col("id").alias("r")).crossJoin(F.broadcast(whole.select("n")))
-    draws = draws.where("n > 0").select("r", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).select("r", (hash48(F.col("r"), F.col("j")) % F.col("n")).alias("k"))
-    means = draws.join(number, "k").groupBy("r").agg(F.round(F.avg("d"), 9).alias("mean"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    means = spark.range(0, tasks, 1, tasks).crossJoin(F.broadcast(packed)).mapInArrow(_means(rounds, tasks), "r bigint, mean double").select("r", F.round("mean", 9).alias("mean"))
     ranked = means.withColumn("i", F.row_number().over(Window.orderBy("mean", "r")) - 1)
     at = lambda share: F.max(F.when(F.col("i") == int(share * rounds), F.col("mean")))
     bounds = ranked.agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
     return whole.crossJoin(bounds).select("n", "diff", "lo", "hi", F.coalesce(((F.col("lo") > 0) == (F.col("hi") > 0)) & (F.col("lo") != 0), F.lit(False)).alias("significant"))
 
 
+def _differences(table: pa.Table) -> pa.Table:
+    """All differences in order of i, NaN for one that is null."""
+    found = table.sort_by("i").column("d").to_numpy()
+    return pa.table({"d": pa.array([found.astype("<f8").tobytes()], pa.binary())})
+
+
+def _means(rounds: int, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(r, mean): the mean of each round's draws that are not null, of the rounds of each task of (task, d)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, d in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(d.as_buffer(), "<f8")
+                mine = np.arange(task, rounds, tasks)
+                total, many = np.zeros(len(mine)), np.zeros(len(mine))
+                for lo in range(0, len(own), DRAWN):
+                    names = [b":%d" % j for j in range(lo, min(len(own), lo + DRAWN))]
+                    for i, r in enumerate(mine.tolist()):
+                        start, hashes = md5(b"%d" % r).copy, bytearray()
+                        for name in names:
+                            h = start()
+                            h.update(name)
+                            hashes += h.digest()
+                        first = np.frombuffer(hashes, ">u8")[::2] >> np.uint64(16)
+                        got = own[(first % np.uint64(len(own))).astype(np.int64)]
+                        total[i] += np.nansum(got)
+                        many[i] += np.count_nonzero(~np.isnan(got))
+                drawn = many > 0
+                yield pa.RecordBatch.from_arrays([pa.array(mine[drawn]), pa.array(total[drawn] / many[drawn])], names=["r", "mean"])
+
+    return run
+
+
 def loglog_slope(points: DataFrame) -> DataFrame:
     """One row (slope): the least-squares slope of ln y on ln x over points(x, y) above 0; 0 for fewer than two."""
     return points.where("x > 0 and y > 0").agg(F.coalesce(F.when(F.count("*") >= 2, F.regr_slope(F.log("y"), F.log("x"))), F.lit(0.0)).alias("slope"))

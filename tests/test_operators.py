@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -134,6 +135,18 @@ def test_grades(spark):
     assert all(r.got == r.want for r in frame.withColumn("got", E.grade(F.col("a"), F.col("b"))).collect())
 
 
+def test_draws_of_a_bootstrap_never_become_rows(spark):
+    """A table of draws looks small to Spark, which sent all of them through the driver."""
+    d = [((i * 37) % 11 - 5) / 7 for i in range(23)]
+    pairs = spark.createDataFrame([(i, 1.0, 1.0 + x) for i, x in enumerate(d)], "i bigint, a double, b double")
+    found = E.paired_bootstrap(pairs, 200)
+    assert "sequence(" not in found._jdf.queryExecution().toString()
+    number = lambda r, j: int(hashlib.md5(f"{r}:{j}".encode()).hexdigest()[:12], 16) % len(d)
+    means = sorted(round(sum(d[number(r, j)] for j in range(len(d))) / len(d), 9) for r in range(200))
+    got = found.first()
+    assert (got.n, round(got.diff, 9), round(got.lo, 9), round(got.hi, 9)) == (23, round(sum(d) / 23, 9), means[5], means[195])
+
+
 def test_bootstrap_and_slope(spark):
     up = spark.createDataFrame([(i, 0.5, 0.55) for i in range(200)], "i bigint, a double, b double")
     r = E.paired_bootstrap(up, 200).first()
