@@ -112,3 +112,28 @@ def test_totals_send_no_posting_as_a_row(spark):
     before = sent(spark)
     catalogue.QUERIES["tfidf_norms"](spark, FOLDER).collect()
     assert sent(spark) - before < 3000
+
+
+def topical(spark, n=240):
+    rng = random.Random(5)
+    return spark.createDataFrame([(3 * i, " ".join(f"w{int(rng.gauss(i, 6)) % n}x" for _ in range(20))) for i in range(n)], "pos bigint, abstract string")
+
+
+def test_edges_around_nodes_are_those_of_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 50)
+    index = K.packs(topical(spark))
+    every = {tuple(r) for r in G.mutual_edges(G.packed_arcs(index)).collect()}
+    monkeypatch.setattr(G, "packed_arcs", None)  # all pairs of documents are not scored
+    nodes = {3, 300, 303}
+    for hops in (1, 2):
+        got = {tuple(r) for r in G.edges_around(index, spark.createDataFrame([(x,) for x in nodes], "pos bigint"), hops).collect()}
+        want = {e for e in every if nodes & {*e[:2]}}
+        assert want <= got <= every and want
+        nodes = nodes | {x for e in want for x in e[:2]}
+
+
+def test_edges_need_all_terms(spark):
+    rows = topical(spark, 40)
+    index = K.packs(rows, rows.select(F.col("pos").alias("q"), F.col("abstract").alias("text")).limit(2))
+    with pytest.raises(ValueError, match="all terms"):
+        G.edges_around(index, rows.select("pos"))
