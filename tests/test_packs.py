@@ -137,3 +137,14 @@ def test_edges_need_all_terms(spark):
     index = K.packs(rows, rows.select(F.col("pos").alias("q"), F.col("abstract").alias("text")).limit(2))
     with pytest.raises(ValueError, match="all terms"):
         G.edges_around(index, rows.select("pos"))
+
+
+def test_queries_fill_blocks(spark):
+    rows = topical(spark, 60)
+    queries = rows.select(F.col("pos").alias("q"), F.col("abstract").alias("text")).repartition(7)
+    assert K.packs(rows, queries).asked().count() == 1
+
+
+def test_exact_edges_of_the_recall_send_no_vector_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(G, "exact_arcs", None)
+    assert catalogue.QUERIES["edge_recall"](spark, FOLDER).first().exact > 0
